@@ -11,16 +11,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.hashing import window_hashes, word_hashes
 from lodeframe.llm.scratch import partitions_for
 
 PERIOD, COVER = 7, (1, 2, 4)
 #: Hashes that a map task gathers before it combines and emits them.
 CHUNK = 1 << 20
-_M = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -28,26 +27,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
-def window_hashes(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
-    """A mixed 64-bit hash of each run of ``n`` word hashes."""
-    size = max(0, len(h) - n + 1)
-    x = h[:size].copy()
-    with np.errstate(over="ignore"):
-        if which:
-            x ^= x >> np.uint64(29)
-        for k in range(1, n):
-            x *= np.uint64(_M[which])
-            x += h[k : k + size]
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xFF51AFD7ED558CCD)
-        x ^= x >> np.uint64(33)
-    return x
-
-
 def on_cover(n: int) -> np.ndarray:
     at = np.arange(n) % PERIOD
     return np.flatnonzero(np.isin(at, COVER))
