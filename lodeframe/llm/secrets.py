@@ -29,6 +29,7 @@ ENCODINGS = (
 ALPHA = 1e-3
 #: Share of false finds among the added spans that is aimed at.
 FDR = 0.01
+MASK = "<SECRET>"
 _BINS, _BIN = 2000, 100
 _PREFIX = 256
 
@@ -175,7 +176,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     )
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "<SECRET>", rate: float = FDR) -> DataFrame:
+def redacted(docs: DataFrame, text_col: str = "text", mask: str = MASK, rate: float = FDR) -> DataFrame:
     """The rows and columns of ``docs`` with every found span of ``text_col`` replaced by ``mask``; spans that
     overlap are replaced as one. Texts without finds, null ones among them, stay as they are."""
     kept = docs.columns
