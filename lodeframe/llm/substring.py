@@ -32,6 +32,22 @@ def on_cover(n: int) -> np.ndarray:
     return np.flatnonzero(np.isin(at, COVER))
 
 
+def _pack(h: np.ndarray) -> bytes:
+    """The low 48 bits of each hash; the bucket comes from the others."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1).astype(np.uint64)
+
+
+def tag(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """What tells hashes of one document apart: 48 bits of ``h`` and 16 of ``g``."""
+    return h & np.uint64((1 << 48) - 1) | (g.astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48)
+
+
 def _runs(h: np.ndarray, g: np.ndarray, d: np.ndarray):
     """Order by (h, g, d), and the start and the number of the run of equal (h, g) of each place."""
     order = np.lexsort((d, g, h))
@@ -69,17 +85,17 @@ class _Combiner:
         new = np.ones(len(h), bool)
         new[1:] = (run[1:] != run[:-1]) | (d[1:] != d[:-1])  # a doc counts once for each hash
         done = new & (shared[run] if self.with_first else d != low[run])
-        bucket = (h[start] >> np.uint64(44)).astype(np.int64) % self.buckets
+        bucket = (h[start] >> np.uint64(48)).astype(np.int64) % self.buckets
         order = np.argsort(bucket, kind="stable")
         edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=self.buckets))
         rows = []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             at = order[a:b]
-            rows.append((int(bucket[at[0]]), h[start[at]].tobytes(), g[start[at]].tobytes() if g.any() else b"", low[at].tobytes(), shared[at].tobytes()))
+            rows.append((int(bucket[at[0]]), _pack(h[start[at]]), g[start[at]].tobytes() if g.any() else b"", low[at].tobytes(), shared[at].tobytes()))
         sent, by = np.flatnonzero(done), 1 << 14
         for k, a in enumerate(range(0, len(sent), by)):
             at = sent[a : a + by]
-            rows.append(((int(d[at[0]]) + k) % self.buckets, h[at].tobytes(), None, d[at].tobytes(), b""))
+            rows.append(((int(d[at[0]]) + k) % self.buckets, tag(h[at], g[at]).tobytes(), None, d[at].tobytes(), b""))
         for a in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64], strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "h", "g", "d", "s"])
 
@@ -98,16 +114,17 @@ def _decide(with_first: bool):
         hs, gs, ds, ss = [], [], [], []
         for b in batches:
             for h, g, d, s in zip(*(b.column(k) for k in (1, 2, 3, 4)), strict=True):
-                h, d = np.frombuffer(h.as_py(), np.uint64), np.frombuffer(d.as_py(), np.int64)
+                d = np.frombuffer(d.as_py(), np.int64)
                 if not g.is_valid:
-                    yield from out(d, h)
+                    yield from out(d, np.frombuffer(h.as_py(), np.uint64))
                     continue
+                h = _unpack(h.as_py())
                 hs.append(h)
                 ds.append(d)
                 gs.append(np.frombuffer(g.as_py(), np.uint32) if g.as_py() else np.zeros(len(h), np.uint32))
                 ss.append(np.frombuffer(s.as_py(), bool))
         if hs:
-            order, h, _, d, start, run = _runs(*(np.concatenate(x) for x in (hs, gs, ds)))
+            order, h, g, d, start, run = _runs(*(np.concatenate(x) for x in (hs, gs, ds)))
             low, told = d[start], np.concatenate(ss)[order]
             other = d != low[run]
             if with_first:
@@ -116,7 +133,7 @@ def _decide(with_first: bool):
                 keep = shared[run] & ~told
             else:
                 keep = other
-            yield from out(d[keep], h[keep])
+            yield from out(d[keep], tag(h[keep], g[keep]))
 
     return run
 
@@ -129,6 +146,10 @@ def _docs_of(batches):
             yield ids[k].as_py(), words_of(texts[k].as_py()), None if extra is None or not extra[k].is_valid else extra[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
 
 
+def _two(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    return window_hashes(h, window), (window_hashes(h, window, 1) >> np.uint64(32)).astype(np.uint32)
+
+
 def _anchors(buckets: int):
     def run(batches):
         out = _Combiner(buckets, True)
@@ -152,13 +173,14 @@ def _extended(buckets: int, window: int):
             h = word_hashes(words)
             a = window_hashes(h, PERIOD)
             at = on_cover(len(a))
-            at = at[np.isin(a[at], shared)]
+            at = at[np.isin(tag(a[at], np.zeros(len(at), np.uint32)), shared)]
             near = np.zeros(len(h) - window + 1, bool)
             for d in range(window - PERIOD + 1):
                 x = at - d
                 near[x[(x >= 0) & (x < len(near))]] = True
             if near.any():
-                yield from out.add(doc, window_hashes(h, window)[near], (window_hashes(h, window, 1)[near] >> np.uint64(32)).astype(np.uint32))
+                x, g = _two(h, window)
+                yield from out.add(doc, x[near], g[near])
         yield from out.flush()
 
     return run
@@ -171,7 +193,7 @@ def _kept(window: int):
             for _, words, earlier in _docs_of([b]):
                 keep, cut = words, 0
                 if earlier is not None and len(words) >= window:
-                    hit = np.isin(window_hashes(word_hashes(words), window), earlier).astype(np.int64)
+                    hit = np.isin(tag(*_two(word_hashes(words), window)), earlier).astype(np.int64)
                     cover = np.zeros(len(words) + 1, np.int64)
                     cover[: len(hit)] += hit
                     cover[window : window + len(hit)] -= hit
@@ -197,13 +219,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The texts are shuffled once, by id, for both later passes. A passage that very many documents
     hold is combined in the map tasks: each sends one row per hash, whatever the number of copies.
-    Windows are compared by 96 bits.
+    Windows are compared by 80 bits and the bucket, anchors, which only preselect, by 48 and the bucket.
     """
     if window < 2 * PERIOD - 1:
         raise ValueError(f"a shared anchor is certain from {2 * PERIOD - 1} words on")
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     n = partitions_for(src, 32 << 20)
-    buckets = 8 * n
     by_id = src.repartition(n, "id")
 
     def per_doc(df):
@@ -212,7 +233,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def with_hashes(found):
         return by_id.join(per_doc(found), by_id.id == F.col("doc"), "left").select("id", "text", "hs")
 
-    shared = src.mapInArrow(_anchors(buckets), _PROBES).repartition(n, "bucket").mapInArrow(_decide(True), "doc bigint, h bigint")
-    probes = with_hashes(shared).mapInArrow(_extended(buckets, window), _PROBES)
-    earlier = probes.repartition(n, "bucket").mapInArrow(_decide(False), "doc bigint, h bigint")
+    shared = src.mapInArrow(_anchors(n), _PROBES).repartitionById(n, F.col("bucket")).mapInArrow(_decide(True), "doc bigint, h bigint")
+    probes = with_hashes(shared).mapInArrow(_extended(n, window), _PROBES)
+    earlier = probes.repartitionById(n, F.col("bucket")).mapInArrow(_decide(False), "doc bigint, h bigint")
     return with_hashes(earlier).mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
