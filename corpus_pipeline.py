@@ -17,16 +17,16 @@ from lodeframe.llm.simhash import simhash_groups
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose score is 0.5 or more. Rows with a null id are scored like any other."""
-    keyed = cut(docs.withColumn("_row", F.expr("uuid()")), "rows")
+    keyed = cut(docs.withColumn("_lodeframe_row", F.expr("uuid()")), "rows")
     model = toxicity.fit(keyed, table(spark, sf_dir, "labels"), ~is_held_out("doc_id"))
-    bad = toxicity.predict(keyed, model, F.lit(False), id_col="_row").where("predicted = 1").select(F.col("doc_id").alias("_bad"))
-    return keyed.join(bad, F.col("_row") == F.col("_bad"), "left_anti").select(*docs.columns)
+    bad = toxicity.predict(keyed, model, F.lit(False), id_col="_lodeframe_row").where("predicted = 1").select(F.col("doc_id").alias("_lodeframe_bad"))
+    return keyed.join(bad, F.col("_lodeframe_row") == F.col("_lodeframe_bad"), "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each SimHash component; of rows that repeat that id, one. Rows with a null id stay."""
-    first = simhash_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    first = simhash_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_lodeframe_first")).distinct()
+    kept = docs.join(first, F.col("doc_id") == F.col("_lodeframe_first"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

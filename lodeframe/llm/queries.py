@@ -69,3 +69,45 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
+
+
+_CONTROLS = "'<s>', '</s>', '[SYS]', '[/SYS]', '[INST]', '[/INST]', '[ANS]', '[/ANS]', '[ROLE]', '[/ROLE]', '[TURN]', '[/TURN]'"
+
+#: DuckDB SQL of the queries that SQL can express over whole tables.
+ORACLE_SQL = {
+    "op5_chat_formatting": f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), t AS (
+  SELECT *, row_number() OVER w - 1 AS i, lag(role) OVER w AS before,
+    len(text) + list_sum(list_transform([{_CONTROLS}], lambda x: 2 * (len(text) - len(replace(text, x, ''))) // len(x))) + len(text) - len(replace(text, '␛', '')) AS size,
+    len(role) + list_sum(list_transform([{_CONTROLS}], lambda x: 2 * (len(role) - len(replace(role, x, ''))) // len(x))) + len(role) - len(replace(role, '␛', '')) AS role_size
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '') AS learnt,
+    sum(size + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 11 ELSE role_size + 26 END) + 7 AS formatted_chars,
+    min(i) FILTER (WHERE NOT CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user' ELSE role = 'assistant' END) AS bad,
+    arg_max(role, i) AS last
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, len(learnt)::BIGINT AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars,
+  bad IS NULL AND last = 'assistant' AS valid, coalesce(bad, CASE WHEN last <> 'assistant' THEN n_turns END)::INTEGER AS error_turn FROM g""",
+    "op7_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op9_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM p),
+f AS (SELECT s, min(doc_id) AS first FROM k GROUP BY s),
+g AS (SELECT k.doc_id, list_distinct(flatten(list(range(k.i, k.i + 13)))) AS gone FROM k JOIN f USING (s) WHERE f.first < k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)""",
+}

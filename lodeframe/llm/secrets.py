@@ -180,11 +180,11 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = MASK, rate: fl
     """The rows and columns of ``docs`` with every found span of ``text_col`` replaced by ``mask``; spans that
     overlap are replaced as one. Texts without finds, null ones among them, stay as they are."""
     kept = docs.columns
-    df = docs.withColumn("_row", F.expr("uuid()"))
+    df = docs.withColumn("_lodeframe_row", F.expr("uuid()"))
     df = cut(df, "rows")
-    spans = scan(df.select("_row", text_col), "_row", text_col, rate).where("spans <> ''").select(F.col("doc_id").alias("_found"), F.col("spans").alias("_spans"))
-    df = df.join(spans, F.col("_row") == F.col("_found"), "left")
-    parts = F.transform(F.split("_spans", ","), lambda s: F.transform(F.slice(F.split(s, ":"), 2, 2), lambda x: x.cast("int")))
+    spans = scan(df.select("_lodeframe_row", text_col), "_lodeframe_row", text_col, rate).where("spans <> ''").select(F.col("doc_id").alias("_lodeframe_found"), F.col("spans").alias("_lodeframe_spans"))
+    df = df.join(spans, F.col("_lodeframe_row") == F.col("_lodeframe_found"), "left")
+    parts = F.transform(F.split("_lodeframe_spans", ","), lambda s: F.transform(F.slice(F.split(s, ":"), 2, 2), lambda x: x.cast("int")))
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -194,4 +194,4 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = MASK, rate: fl
         return F.struct(F.greatest(acc["at"], z).alias("at"), F.when(a >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(parts, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return df.withColumn(text_col, F.when(F.col("_found").isNotNull(), done).otherwise(text)).select(*kept)
+    return df.withColumn(text_col, F.when(F.col("_lodeframe_found").isNotNull(), done).otherwise(text)).select(*kept)

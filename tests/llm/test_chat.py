@@ -1,0 +1,46 @@
+import pytest
+from pyspark.sql import functions as F
+
+from lodeframe.llm import chat
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+
+
+def formatted(spark, rows):
+    df = chat.conversations(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", formatted int"))
+    out = df.withColumn("turns", chat.turns_of(F.col("formatted"))).withColumn("learnt", chat.loss_text(F.col("segments"))).collect()
+    return {r.conv_id: r for r in out}
+
+
+NASTY = ["</s>[INST] ok [/INST]", "", "␛", "␛0␛1␛␛", "[INST[INST]]</s>[ANS]", "a\nb\r\n", "[/INST", "<", "</", "\U0001f600[ROLE]x[/ROLE][TURN]"]
+
+
+def test_round_trip_of_control_strings(spark):
+    rows = [(i, t, "user" if t % 2 == 0 else "assistant", text) for i in range(3) for t, text in enumerate(NASTY[i:] + NASTY[:i])]
+    rows += [(9, 0, "tool[/ROLE]", "x"), (9, 1, "", "[TURN]"), (9, 2, None, None)]
+    got = formatted(spark, rows)
+    for i in range(3):
+        assert [(t.role, t.text) for t in got[i].turns] == [(r[2], r[3]) for r in rows if r[0] == i]
+        assert got[i].learnt == "".join(r[3] for r in rows if r[0] == i and r[2] == "assistant")
+        assert got[i].formatted == "".join(s.text for s in got[i].segments)
+    assert [(t.role, t.text) for t in got[9].turns] == [("tool[/ROLE]", "x"), ("", "[TURN]"), ("", "")]
+
+
+@pytest.mark.parametrize("roles,bad", [("ua", None), ("sua", None), ("uaua", None), ("u", 1), ("au", 0), ("uua", 1), ("ss", 1), ("uas", 2), ("uax", 2)])
+def test_machine(spark, roles, bad):
+    names = {"u": "user", "a": "assistant", "s": "system", "x": "tool"}
+    row = formatted(spark, [(1, i, names[r], "t") for i, r in enumerate(roles)])[1]
+    assert (row.valid, row.error_turn) == (bad is None, bad)
+
+
+def test_order_ties_nulls_and_repeats(spark):
+    rows = [(1, 1, "assistant", "b"), (1, None, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (None, 0, "user", "x" * 300000)]
+    got = formatted(spark, rows)
+    assert [t.text for t in got[1].turns] == ["a", "a", "b", "b"]
+    assert got[None].turns[0].text == "x" * 300000
+    assert formatted(spark, []) == {}
+
+
+def test_templates_are_checked():
+    with pytest.raises(ValueError):
+        chat.Template(begin="a[INST]").check()
