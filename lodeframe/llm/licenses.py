@@ -73,7 +73,7 @@ def _shingles(tokens: Column, k: int) -> Column:
 
 def _bands(shingles: Column) -> Column:
     base = F.transform(shingles, lambda s: F.xxhash64(s))
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(base, lambda h: F.xxhash64(h, b))).alias("value")))
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(base, lambda h: F.xxhash64(h, b))))
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES, k: int = SHINGLE) -> DataFrame:
@@ -96,10 +96,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     Words are lower-cased runs of a-z and 0-9. A template lies whole in some window of its width (two
     thirds overlap), where its similarity is 0.25 or more even at the least containment, so that some
     band meets with a chance of 0.999. Null and empty texts and null ids match nothing; repeated rows
-    give one row; an empty table gives an empty result; other columns are not read.
+    of an id give one row; an empty table gives an empty result; other columns are not read.
 
     Documents without any anchor word of any template cannot hold enough shingles and are passed over
-    before windows are made, as are windows without one; both are exact.
+    before windows are made, as are windows without one; both are exact. Windows stay inside their
+    document's row: only verified matches become rows.
     """
     spark = docs.sparkSession
     table = template_table(spark, templates, k)
@@ -117,15 +118,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     def windows_of(x):
         # the starts of this width's windows that cover a spot
         at = F.flatten(F.transform("spots", lambda s: F.transform(F.sequence(F.greatest(F.lit(0), F.floor((s - x["width"]) / x["stride"]).cast("int") + 1), F.floor(s / x["stride"]).cast("int")), lambda j: j * x["stride"])))
-        return F.transform(F.array_distinct(at), lambda a: F.struct(x["width"].alias("width"), a.alias("first_word")))
+        return F.transform(F.array_distinct(at), lambda a: F.struct(x["width"].alias("width"), a.alias("first_word"), _shingles(F.slice("tokens", a + 1, x["width"]), k).alias("shingles")))
+
+    marks = table.select("template", "license", "width", "shingles", _bands(F.col("shingles")).alias("bands")).orderBy("template").collect()  # the fixed list
+    wide = F.array(*[F.lit(m.width) for m in marks])
+    bands = F.array(*[F.array(*[F.lit(v) for v in m.bands]) for m in marks])
+    wanted = F.array(*[F.array(*[F.lit(v) for v in m.shingles]) for m in marks])
+
+    def candidates(w):
+        """Templates of the window's width that share a band, with the share of their shingles that it holds."""
+        own = _bands(w["shingles"])
+        met = F.filter(F.sequence(F.lit(0), F.lit(len(marks) - 1)), lambda t: (F.get(wide, t) == w["width"]) & F.arrays_overlap(F.zip_with(own, F.get(bands, t), lambda x, y: x == y), F.array(F.lit(True))))
+        return F.transform(met, lambda t: F.struct(t.alias("place"), w["first_word"].alias("first_word"), (F.size(F.array_intersect(w["shingles"], F.get(wanted, t))) / F.size(F.get(wanted, t))).alias("containment")))
 
     spotted = src.withColumn("spots", spots).where(F.size("spots") > 0)
-    windows = spotted.select("doc_id", "tokens", F.explode(F.flatten(F.transform(starts, windows_of))).alias("w"))
-    windows = windows.select("doc_id", "w.width", "w.first_word", _shingles(F.slice("tokens", F.col("w.first_word") + 1, F.col("w.width")), k).alias("window")).where(F.size("window") > 0)
-    keyed = windows.select("doc_id", "width", "first_word", "window", F.explode(_bands(F.col("window"))).alias("b")).select("*", "b.*").drop("b")
-    keys = table.select("template", "width", F.explode(_bands(F.col("shingles"))).alias("b")).select("template", "width", "b.*")
-    met = keyed.join(F.broadcast(keys), ["width", "band", "value"]).select("doc_id", "first_word", "window", "template").distinct()
-    held = met.join(F.broadcast(table.select("template", "license", "shingles")), "template")
-    share = F.size(F.array_intersect("window", "shingles")) / F.size("shingles")
-    found = held.withColumn("containment", share).where(F.col("containment") >= containment)
-    return found.groupBy("doc_id", "license", "template").agg(F.max("containment").alias("containment"), F.count("*").alias("n_windows"), F.min("first_word").cast("bigint").alias("first_word"))
+    spotted = spotted.withColumn("windows", F.filter(F.flatten(F.transform(starts, windows_of)), lambda w: F.size(w["shingles"]) > 0))
+    held = F.filter(F.flatten(F.transform("windows", candidates)), lambda c: c["containment"] >= containment)
+    found = spotted.select("doc_id", F.explode(held).alias("c")).select("doc_id", "c.*")
+    names = F.array(*[F.lit(m.license) for m in marks])
+    found = found.groupBy("doc_id", "place").agg(F.max("containment").alias("containment"), F.count("*").alias("n_windows"), F.min("first_word").cast("bigint").alias("first_word"))
+    return found.select("doc_id", F.get(names, F.col("place")).alias("license"), F.col("place").alias("template"), "containment", "n_windows", "first_word")
