@@ -42,11 +42,12 @@ def counts(text: str | None) -> np.ndarray | None:
         c = c[ok | np.concatenate([[tail[-1] != 32], ok[:-1]])]
         c = np.concatenate([tail, c])
         old = len(tail)
-        x = np.zeros(len(c), np.uint64)
+        one = (c.astype(np.uint64) + np.uint64(1)) * _MIX[0]
+        x = one
         for n in range(GRAMS):
-            # x[i] stands for the n + 1 characters that end at i
-            x[n:] = (x[n - 1 : -1] if n else x) * _MIX[1] + (c[n:].astype(np.uint64) + np.uint64(1)) * _MIX[0] if n else (c.astype(np.uint64) + np.uint64(1)) * _MIX[0]
-            y = x[max(n, old) :]
+            if n:  # x[i]: the n + 1 characters that end at i + n
+                x = x[:-1] * _MIX[1] + one[n:]
+            y = x[max(0, old - n) :]  # those that end in this slice
             total += np.bincount(((y ^ (y >> np.uint64(15))) * _MIX[2] >> np.uint64(12)).astype(np.int64) & (DIM - 1), minlength=DIM)
         tail = c[-GRAMS:]
     return total if any_letter else None
@@ -104,7 +105,7 @@ def _learn_pass(share: dict[str, float]):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([1] * len(out), pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True))], names=["kind", "lang", "h", "at", "n"])
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([""]), pa.array([0.0]), pa.array([np.arange(DIM, dtype=np.int32)], pa.list_(pa.int32())), pa.array([np.append(df[:-1], df[-1])], pa.list_(pa.int64()))], names=["kind", "lang", "h", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([""]), pa.array([0.0]), pa.array([np.arange(DIM, dtype=np.int32)], pa.list_(pa.int32())), pa.array([df], pa.list_(pa.int64()))], names=["kind", "lang", "h", "at", "n"])
             yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([""]), pa.array([0.0]), pa.array([[0]], pa.list_(pa.int32())), pa.array([[n]], pa.list_(pa.int64()))], names=["kind", "lang", "h", "at", "n"])
 
     return run
@@ -114,8 +115,9 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """Learn from the rows where ``learn`` holds and the language is not null. IDF counts all of them; the
     clusters use at most ``each`` of a language and ``sample`` in all, the first by a hash of the id.
     None if there is nothing to learn from."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(sample + 1).collect()}
+    known = docs.where(learn & F.col(lang_col).isNotNull())
+    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(sample + 1).collect()}
+    rows = known.where(F.col(text_col).isNotNull())
     if not sizes:
         return None
     if len(sizes) > sample:
