@@ -18,6 +18,18 @@ def bounded_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_LIMIT else df
 
 
+def _equated(e: E.Expr, n_left: int) -> list[int] | None:
+    """The right columns of a condition that is only column equalities between the sides, else None."""
+    if isinstance(e, E.Binary) and e.op == "and":
+        a, b = _equated(e.left, n_left), _equated(e.right, n_left)
+        return None if a is None or b is None else sorted({*a, *b})
+    if isinstance(e, E.Binary) and e.op in ("=", "<=>") and isinstance(e.left, E.Ref) and isinstance(e.right, E.Ref):
+        a, b = sorted((e.left.index, e.right.index))
+        if a < n_left <= b:
+            return [b - n_left]
+    return None
+
+
 def join_frames(left: DataFrame, right: DataFrame, condition: E.Expr, how: str = "inner", hint: str | None = None) -> DataFrame:
     """Join on an expression whose ordinals count the left columns, then the right ones.
 
@@ -33,7 +45,11 @@ def join_frames(left: DataFrame, right: DataFrame, condition: E.Expr, how: str =
     a, b = left.toDF(*l_names), right.toDF(*r_names)
     types = [f.dataType for f in left.schema] + [f.dataType for f in right.schema]
     on, _ = E.compile(condition, [F.col(c) for c in l_names + r_names], types)
-    if how == "single":
+    keys = _equated(condition, n) if how == "single" else None
+    if keys:  # a second match can only come from a key that repeats on the right: find those there
+        rest = [c for c in r_names if c not in {f"_r{k}" for k in keys}]
+        b = b.groupBy(*[f"_r{k}" for k in keys]).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
+    elif how == "single":
         a = a.withColumn("_row", F.monotonically_increasing_id())
     if hint == "broadcast_left":
         a = bounded_broadcast(a)
@@ -45,9 +61,10 @@ def join_frames(left: DataFrame, right: DataFrame, condition: E.Expr, how: str =
         raise ValueError(f"unknown join hint {hint!r}")
     out = a.join(b, on, _HOW[how])
     if how == "single":
+        if not keys:
+            out = out.groupBy("_row", *l_names).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in r_names])
         # a second match raises, as a scalar subquery's second row would
         again = F.raise_error(F.lit("a single join found more than one match"))
-        out = out.groupBy("_row", *l_names).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in r_names])
         first, *rest = l_names + r_names
         guarded = F.when(F.col("_n") > 1, again.cast(out.schema[first].dataType)).otherwise(F.col(first)).alias(first)
         out = out.select(guarded, *rest)

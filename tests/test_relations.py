@@ -66,6 +66,12 @@ def test_single_join_and_projection(spark):
     twice = table(spark, "k bigint, v string", [(1, "x"), (1, "y")])
     with pytest.raises(Exception, match="more than one match"):
         rows(R.Join(a, twice, Ref(0).eq(Ref(1)), "single"))
+    other = table(spark, "k bigint, v string", [(1, "x"), (9, "y"), (9, "z"), (None, "n"), (None, "m")])
+    assert sort(rows(R.Join(a, other, Ref(0).eq(Ref(1)), "single"))) == sort([(1, 1, "x"), (2, None, None), (None, None, None)])
+    with pytest.raises(Exception, match="more than one match"):
+        rows(R.Join(a, other, Ref(0).same(Ref(1)), "single"))
+    with pytest.raises(Exception, match="more than one match"):
+        rows(R.Join(a, other, Ref(0) < Ref(1), "single"))
 
 
 AGG = [("apple", 0, 0, True), (None, 1, 1, False), ("apple", 0, None, True), ("apple", 1, 4, True), (None, 1, 8, True), ("orange", 0, 16, True), ("orange", 1, 32, True), ("apple", 1, 64, False)]
