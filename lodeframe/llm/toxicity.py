@@ -1,4 +1,4 @@
-"""Toxicity: noisy-channel deobfuscation of suspicious tokens, then a lexicon score of the restored text.
+"""Toxicity: noisy-channel deobfuscation of suspicious tokens, then a lexicon score (words and stems) of the restored text.
 
 Tokens with leetspeak, spaced-out letters or repetition form a character lattice; Viterbi picks the
 likeliest reading under a character trigram model of the whole corpus. Plain words restore to
@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 from lodeframe.llm.scratch import cut
 
 #: Labelled rows that the lexicon is learnt from, at most.
-SAMPLE = 12_000
+SAMPLE = 20_000
+#: Lengths of the stems that count as features beside whole words: what inflects shows by its stem.
+STEMS = (4, 5, 6)
+#: Least log-likelihood ratio of a word and the label.
+LEAST_RATIO = 24.0
 #: What a sign may stand for besides itself.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = ".-_*~'`"
@@ -68,7 +72,7 @@ def _count_pass(batches):
 
 @dataclass
 class Model:
-    """log P(next | two before), the toxic share among rows with each lexicon word, and without any."""
+    """log P(next | two before), the toxic share among rows with each lexicon entry, and without any."""
 
     lm: np.ndarray
     lexicon: dict[str, float] = field(default_factory=dict)
@@ -135,9 +139,14 @@ def decode(s: str, lm: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+def features(word: str) -> list[str]:
+    """What a restored word shows: itself, and its stems of a few lengths as ``^stem``."""
+    return [word, *(f"^{word[:n]}" for n in STEMS if len(word) > n)]
+
+
 class Restorer:
-    """The distinct words of texts after deobfuscation. What a token restores to is remembered, up to a
-    fixed number of tokens; with ``keep``, words outside it are not."""
+    """The features of a text's distinct words after deobfuscation. With ``keep``, only those in it; what a
+    token shows is then remembered, up to a fixed number of tokens."""
 
     def __init__(self, lm: np.ndarray, keep=None):
         self.lm, self.keep, self.memo, self.plain = lm, keep, {}, set()
@@ -150,8 +159,8 @@ class Restorer:
             if _REPEAT.search(t):
                 if _LONG_REPEAT.search(t):
                     found.add(decode(t, self.lm))
-                elif self.keep is not None:
-                    found.add(_REPEAT.sub(r"\1", t))
+                elif self.keep is not None and (once := _REPEAT.sub(r"\1", t)) in self.keep:
+                    found.add(once)
             return found
         parts = _PLAIN.findall(t)
         found, letters = set(parts), sum(map(len, parts))
@@ -160,34 +169,83 @@ class Restorer:
             found.add(decode(t, self.lm))
         return found
 
+    def shown(self, t: str) -> set[str]:
+        found = {f for w in self.token(t) for f in features(w)}
+        if self.keep is None:
+            return found
+        found &= self.keep
+        if len(t) <= 64:
+            if len(self.memo) + len(self.plain) > 400_000:
+                self.memo.clear()
+                self.plain.clear()
+            if found:
+                self.memo[t] = found
+            else:
+                self.plain.add(t)
+        return found
+
     def words(self, text: str | None) -> set[str]:
         text = (text or "").lower()
-        tokens, found = set(text.split()), set()
-        if len(self.memo) + len(self.plain) > 400_000:
-            self.memo.clear()
-            self.plain.clear()
-        for t in tokens - self.plain:
-            known = self.memo.get(t)
-            if known is None:
-                known = self.token(t)
-                if self.keep is not None:
-                    known &= self.keep
-                if len(t) <= 64:
-                    if known:
-                        self.memo[t] = known
-                    else:
-                        self.plain.add(t)
-            found |= known
+        found = set()
+        for t in set(text.split()) - self.plain:
+            found |= self.memo.get(t) or self.shown(t)
         for m in _SPACED.finditer(f" {text} "):
             s = "".join(m[0].split())
             read = "".join(decode(s[i : i + 64], self.lm) for i in range(0, len(s), 64))
             if self.keep is None:
-                found.add(read)
+                found.update(features(read))
             else:
-                found.update(w for w in self.keep if w == read or len(w) > 3 and w in read)
+                found.update(w for w in self.keep if w == read or len(w) > 3 and w[0] != "^" and w in read)
+                found.update(self.keep.intersection(features(read)))
         return found
 
 
+def covering(rows: list[tuple[list[str], int, int]], n: int, k: int) -> dict[str, float]:
+    """Words and stems, best first, each judged on the rows that no word before it explains: so the other words of a
+    toxic text, though it may have thousands of copies, don't pass for toxic ones. ``rows``: (words, toxic
+    rows, rows) with the same words; ``n`` rows, ``k`` toxic ones in all. Gives each word's toxic share
+    among all rows that hold it."""
+    total: dict[str, list[int]] = {}
+    for words, x, y in rows:
+        for w in words:
+            t = total.setdefault(w, [0, 0])
+            t[0] += x
+            t[1] += y
+    now = {w: list(t) for w, t in total.items()}
+    holders: dict[str, list[int]] = {}
+    for i, (words, *_) in enumerate(rows):
+        for w in words:
+            holders.setdefault(w, []).append(i)
+    left, out = [True] * len(rows), {}
+
+    def part(x, e):
+        return x * math.log(x / e) if x > 0 and e > 0 else 0.0
+
+    def gain(w):
+        a, m = now[w]
+        if a < 2 or not k or a * n <= 2 * k * m:
+            return 0.0
+        return 2 * (part(a, m * k / n) + part(m - a, m * (n - k) / n) + part(k - a, (n - m) * k / n) + part(n - m - k + a, (n - m) * (n - k) / n))
+
+    while now:
+        best = max(now, key=lambda w: (gain(w), w))
+        if gain(best) <= LEAST_RATIO:
+            break
+        out[best] = total[best][0] / total[best][1]
+        for i in holders[best]:
+            if left[i]:
+                left[i] = False
+                words, x, y = rows[i]
+                n, k = n - y, k - x
+                for w in words:
+                    if w in now:
+                        now[w][0] -= x
+                        now[w][1] -= y
+        del now[best]
+        now = {w: t for w, t in now.items() if t[0] >= 2}
+    return dict(sorted(out.items()))
+
+
 def _feature_pass(shared):
     def run(batches):
         r = Restorer(shared.value)
@@ -200,7 +258,7 @@ def _feature_pass(shared):
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """The character model counts every text of ``docs``. The lexicon comes from at most ``sample`` labelled
     rows where ``learn`` holds (the first by a hash of the id, and so of a proven size): words whose
-    presence goes with the label beyond chance (log-likelihood ratio over 30)."""
+    presence goes with the label beyond chance, each on what the better ones leave (``covering``)."""
     spark = docs.sparkSession
     grams = cut(docs.select(F.col(text_col).alias("text")).mapInArrow(_count_pass, "at int, n bigint"), "trigrams")
     rows = grams.groupBy("at").agg(F.sum("n").alias("n")).toPandas()
@@ -223,33 +281,57 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         return F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
 
     g2 = 2 * (part(a, m * k / n) + part(m - a, m * (n - k) / n) + part(F.lit(k) - a, (n - m) * k / n) + part(n - m - k + a, (n - m) * (n - k) / n))
-    lexicon = {r.word: r.a / r.m for r in by_word.where((a / m > 2 * k / n) & (g2 > 30) & (F.length("word") > 1)).collect()}
-    lexicon = dict(sorted(lexicon.items()))
+    likely = cut(by_word.where((a / m > 2 * k / n) & (g2 > LEAST_RATIO) & (F.length("word") > 2)).select("word"), "likely")
+    rows = got.withColumn("row", F.monotonically_increasing_id()).select("toxic", "row", F.explode("words").alias("word")).join(F.broadcast(likely), "word")
+    rows = rows.groupBy("row").agg(F.max("toxic").alias("toxic"), F.sort_array(F.collect_list("word")).alias("words")).groupBy("words").agg(F.sum("toxic").alias("k"), F.count("*").alias("n"))
+    lexicon = covering([(r.words, int(r.k), r.n) for r in rows.collect()], n, k)
     if lexicon:
         listed = F.array(*[F.lit(w) for w in lexicon])
         rest = got.where(~F.arrays_overlap("words", listed)).agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
         base = (int(rest.k or 0) + 1) / (rest.n + 2)
-        lm = char_model(counts, {w: 1e-4 * float(counts.sum()) ** 0.75 for w in lexicon})
+        lm = char_model(counts, {w.removeprefix("^"): 1e-4 * float(counts.sum()) ** 0.75 for w in lexicon})
     else:
         base = k / n
     return Model(lm, lexicon, base)
 
 
+class Scorer:
+    def __init__(self, model: Model):
+        self.model, self.restorer = model, Restorer(model.lm, frozenset(model.lexicon))
+
+    def __call__(self, texts) -> np.ndarray:
+        m, out = self.model, np.empty(len(texts))
+        for k, t in enumerate(texts):
+            clean = math.prod(1 - min(m.lexicon[w], 0.999) for w in self.restorer.words(t.as_py()))
+            out[k] = 1 - (1 - m.base) * clean
+        return np.clip(out, 0.0, 1.0)
+
+
 def _score_pass(shared):
     def run(batches):
-        m: Model = shared.value
-        r = Restorer(m.lm, frozenset(m.lexicon))
+        score = Scorer(shared.value)
         for b in batches:
-            out = np.empty(b.num_rows)
-            for k, t in enumerate(b.column(2)):
-                clean = math.prod(1 - min(m.lexicon[w], 0.999) for w in r.words(t.as_py()))
-                out[k] = 1 - (1 - m.base) * clean
-            out = np.clip(out, 0.0, 1.0)
+            out = score(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
 
 
+def _keep_pass(shared, at: int, below: float):
+    def run(batches):
+        score = Scorer(shared.value)
+        for b in batches:
+            yield b.filter(pa.array(score(b.column(at)) < below))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", below: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, unchanged, that score under ``below``; no row is moved."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_keep_pass(shared, docs.columns.index(text_col), below), docs.schema)
+
+
 def predict(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 

@@ -49,6 +49,18 @@ def test_words_find_spaced_and_plain(model):
     assert r.words("a " * 50000 + "fine") == set()
 
 
+def test_covering_sees_through_copies():
+    rows = [(["idiot", "the"], 300, 300), (["idiot", "lonely", "other", "words"], 900, 900), (["the"], 0, 5000), (["other"], 1, 700), (["lowei1", "^lowei"], 40, 40), (["lowei2", "^lowei"], 40, 40)]
+    got = toxicity.covering([(r[0], r[1], r[2]) for r in rows], 6980, 1281)
+    assert set(got) == {"idiot", "^lowei"} and set(got.values()) == {1.0}
+
+
+def test_stems_are_features(model):
+    assert toxicity.features("loweient") == ["loweient", "^lowe", "^lowei", "^loweie"] and toxicity.features("abc") == ["abc"]
+    r = toxicity.Restorer(model, frozenset({"^lowei"}))
+    assert r.words("ein Loweischaft, und") == {"^lowei"} and r.words("ein loweischaft") == {"^lowei"} and r.words("ein") == set()
+
+
 def test_trigrams_of_slices(monkeypatch):
     text = "Some wörds, and more. " * 30
     whole = toxicity.trigrams(text)
