@@ -246,6 +246,37 @@ def covering(rows: list[tuple[list[str], int, int]], n: int, k: int) -> dict[str
     return dict(sorted(out.items()))
 
 
+def spread(rows: list[tuple[list[str], int, int]], share: float = 0.99, alike: float = 0.5, most: int = 4) -> dict[str, float]:
+    """Words, and stems of several of them, that always go with the label and whose texts vary: no more than ``most`` others, but for
+    those of the same stem, stand in nearly the same toxic rows. The words of one copied text all do."""
+    total: dict[str, list[int]] = {}
+    toxic = [(set(words), x) for words, x, _ in rows if x]
+    for words, x, y in rows:
+        for w in words:
+            t = total.setdefault(w, [0, 0])
+            t[0] += x
+            t[1] += y
+    strong = sorted(w for w, (a, m) in total.items() if a >= 3 and a >= share * m)
+    place = {w: i for i, w in enumerate(strong)}
+    held = np.zeros((len(toxic), len(strong)), np.float32)
+    for r, (words, x) in enumerate(toxic):
+        held[r, [place[w] for w in words if w in place]] = math.sqrt(x)
+    size = (held**2).sum(0)
+    out = {}
+    for a in range(0, len(strong), 512):
+        both = held[:, a : a + 512].T @ held
+        near = both >= alike * (size[a : a + 512, None] + size[None, :] - both)
+        for i, row in enumerate(near):
+            w = strong[a + i]
+            bare = w.removeprefix("^")
+            kin = [strong[j].removeprefix("^") for j in np.flatnonzero(row)]
+            if w[0] == "^" and sum(u.startswith(bare) for u in strong) < 3:
+                continue  # a stem needs several words; a single one stands for itself
+            if sum(not (u.startswith(bare[:4]) or bare.startswith(u[:4])) for u in kin) <= most:
+                out[w] = total[w][0] / total[w][1]
+    return out
+
+
 def _feature_pass(shared):
     def run(batches):
         r = Restorer(shared.value)
@@ -258,7 +289,8 @@ def _feature_pass(shared):
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """The character model counts every text of ``docs``. The lexicon comes from at most ``sample`` labelled
     rows where ``learn`` holds (the first by a hash of the id, and so of a proven size): words whose
-    presence goes with the label beyond chance, each on what the better ones leave (``covering``)."""
+    presence goes with the label beyond chance, each on what the better ones leave (``covering``) or in
+    texts that vary (``spread``)."""
     spark = docs.sparkSession
     grams = cut(docs.select(F.col(text_col).alias("text")).mapInArrow(_count_pass, "at int, n bigint"), "trigrams")
     rows = grams.groupBy("at").agg(F.sum("n").alias("n")).toPandas()
@@ -284,7 +316,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     likely = cut(by_word.where((a / m > 2 * k / n) & (g2 > LEAST_RATIO) & (F.length("word") > 2)).select("word"), "likely")
     rows = got.withColumn("row", F.monotonically_increasing_id()).select("toxic", "row", F.explode("words").alias("word")).join(F.broadcast(likely), "word")
     rows = rows.groupBy("row").agg(F.max("toxic").alias("toxic"), F.sort_array(F.collect_list("word")).alias("words")).groupBy("words").agg(F.sum("toxic").alias("k"), F.count("*").alias("n"))
-    lexicon = covering([(r.words, int(r.k), r.n) for r in rows.collect()], n, k)
+    rows = [(r.words, int(r.k), r.n) for r in rows.collect()]
+    lexicon = covering(rows, n, k) | spread(rows)
     if lexicon:
         listed = F.array(*[F.lit(w) for w in lexicon])
         rest = got.where(~F.arrays_overlap("words", listed)).agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()

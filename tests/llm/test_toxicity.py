@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.01"
 def test_held_out_accuracy(spark):
     got = op10_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
     assert len(got) > 50 and sum(r.predicted == r.toxic for r in got) / len(got) > 0.9
+    assert not any(r.predicted and not r.toxic for r in got) and sum(r.predicted for r in got) >= 0.6 * sum(r.toxic for r in got)  # a third of the labels are noise here
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
 
 
@@ -55,6 +56,13 @@ def test_covering_sees_through_copies():
     assert set(got) == {"idiot", "^lowei"} and set(got.values()) == {1.0}
 
 
+def test_spread_takes_varied_words_and_no_copied_ones():
+    bad = ["idiot", "moron", "clown", "trash", "scum", "loser", "stupid", "worthless"]
+    copied = [f"{chr(97 + k)}{k}word" for k in range(20)]
+    rows = [([bad[i], bad[(i + d) % 8]], 1, 1) for i in range(8) for d in range(1, 8)] + [([*copied, "idiot"], 9, 9), (["fine"], 0, 500), (["fine", "odd"], 3, 9)]
+    assert set(toxicity.spread(rows)) == set(bad)
+
+
 def test_stems_are_features(model):
     assert toxicity.features("loweient") == ["loweient", "^lowe", "^lowei", "^loweie"] and toxicity.features("abc") == ["abc"]
     r = toxicity.Restorer(model, frozenset({"^lowei"}))
