@@ -17,10 +17,8 @@ from lodeframe.llm.simhash import simhash_groups
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose score is 0.5 or more. Rows with a null id are scored like any other."""
-    keyed = cut(docs.withColumn("_lodeframe_row", F.expr("uuid()")), "rows")
-    model = toxicity.fit(keyed, table(spark, sf_dir, "labels"), ~is_held_out("doc_id"))
-    bad = toxicity.predict(keyed, model, F.lit(False), id_col="_lodeframe_row").where("predicted = 1").select(F.col("doc_id").alias("_lodeframe_bad"))
-    return keyed.join(bad, F.col("_lodeframe_row") == F.col("_lodeframe_bad"), "left_anti").select(*docs.columns)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~is_held_out("doc_id"))
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
