@@ -172,5 +172,6 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 
 def without_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, unchanged, that hold no benchmark item; rows with a null id stay."""
-    bad = contaminated(docs, bench, id_col=id_col, **options).select(F.col("doc_id").alias("_lodeframe_bad")).distinct()
+    # written first: Spark then knows the list's size, and broadcasts it only below its own threshold
+    bad = cut(contaminated(docs, bench, id_col=id_col, **options).select(F.col("doc_id").alias("_lodeframe_bad")).distinct(), "bad")
     return docs.join(bad, docs[id_col] == F.col("_lodeframe_bad"), "left_anti")
