@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 _M = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_MEMO = 1 << 19
+_MEMO = 1 << 17
 
 
 class _Memo(dict):

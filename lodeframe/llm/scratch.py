@@ -57,3 +57,11 @@ def is_held_out(doc_id: str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows per Arrow batch for passes over whole texts: 512, unless the session sets its own. Batches of the
+    default 10,000 rows are tens of MB, of which JVM and Python hold several for each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "512")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.scratch import cut
+from lodeframe.llm.scratch import cut, small_batches
 
 #: Labelled rows that the lexicon is learnt from, at most.
 SAMPLE = 20_000
@@ -175,7 +175,7 @@ class Restorer:
             return found
         found &= self.keep
         if len(t) <= 64:
-            if len(self.memo) + len(self.plain) > 400_000:
+            if len(self.memo) + len(self.plain) > 150_000:
                 self.memo.clear()
                 self.plain.clear()
             if found:
@@ -292,6 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     presence goes with the label beyond chance, each on what the better ones leave (``covering``) or in
     texts that vary (``spread``)."""
     spark = docs.sparkSession
+    small_batches(spark)
     grams = cut(docs.select(F.col(text_col).alias("text")).mapInArrow(_count_pass, "at int, n bigint"), "trigrams")
     rows = grams.groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(_A**3, np.int64)
