@@ -27,7 +27,16 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("Proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
 )
+#: Statements of fewer than SHINGLE words, each one shingle of its own length; numbered after the templates.
+SHORT = (("Proprietary", "All rights reserved"),)
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Hash functions, each a band of one row: two sets of similarity J share a band with chance 1 - (1 - J) ** BANDS.
 BANDS = 24
@@ -65,9 +74,20 @@ def anchors(shingles: list[str], containment: float) -> set[str]:
     return out
 
 
-def _shingles(tokens: Column, k: int) -> Column:
+def _own(n: int, k: int) -> int:
+    """Words in a shingle of a statement of ``n`` words."""
+    return min(k, n)
+
+
+def _sizes(templates, k: int) -> dict[int, int]:
+    """Template length -> window length; a statement shorter than ``k`` is its own window, at every word."""
+    lengths = [len(words(t)) for _, t in templates]
+    return window_sizes([n for n in lengths if n >= k]) | {n: n for n in lengths if n < k}
+
+
+def _shingles(tokens: Column, k: Column) -> Column:
     n = F.size(tokens) - k + 1
-    made = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(tokens, i, F.lit(k)), " "))
+    made = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(tokens, i, k), " "))
     return F.when(n >= 1, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
@@ -76,26 +96,43 @@ def _bands(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(base, lambda h: F.xxhash64(h, b))))
 
 
-def template_table(spark: SparkSession, templates=TEMPLATES, k: int = SHINGLE) -> DataFrame:
+def template_table(spark: SparkSession, templates=TEMPLATES + SHORT, k: int = SHINGLE) -> DataFrame:
     """``template, license, width, shingles``; its size is that of the fixed list of templates."""
-    sizes = window_sizes([len(words(t)) for _, t in templates])
+    sizes = _sizes(templates, k)
     rows = []
     for i, (name, text) in enumerate(templates):
         w = words(text)
-        if len(w) < k:
-            raise ValueError(f"a template has fewer than {k} words: {text}")
-        rows.append((i, name, sizes[len(w)], list(dict.fromkeys(" ".join(w[j : j + k]) for j in range(len(w) - k + 1)))))
+        if not w:
+            raise ValueError(f"a template has no words: {text}")
+        own = _own(len(w), k)
+        rows.append((i, name, sizes[len(w)], list(dict.fromkeys(" ".join(w[j : j + own]) for j in range(len(w) - own + 1)))))
     return spark.createDataFrame(rows, "template int, license string, width int, shingles array<string>")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, k: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
+def _parts(templates, k: int) -> list[tuple[int, int, list[str], list[str]]]:
+    """Short statements that a longer template of the same license holds: (statement, template, the two words
+    before it there, the two after it)."""
+    out = []
+    for i, (name, short) in enumerate(templates):
+        s = words(short)
+        for j, (other, long) in enumerate(templates):
+            w = words(long)
+            if len(s) < k <= len(w) and name == other:
+                out += [(i, j, w[max(0, at - 2) : at], w[at + len(s) : at + len(s) + 2]) for at in range(len(w) - len(s) + 1) if w[at : at + len(s)] == s]
+    return out
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES + SHORT, k: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
     """``doc_id, license, template, containment, n_windows, first_word``: each document and template of which some
     window holds at least ``containment`` of the distinct shingles of ``k`` words; ``first_word`` is where the
     first such window starts, in words from 0.
 
     Words are lower-cased runs of a-z and 0-9. A template lies whole in some window of its width (two
     thirds overlap), where its similarity is 0.25 or more even at the least containment, so that some
-    band meets with a chance of 0.999. Null and empty texts and null ids match nothing; repeated rows
+    band meets with a chance of 0.999. A statement of fewer than ``k`` words is found wherever its words
+    follow each other, but for places where it is part of a longer template of its license that the
+    document holds. Templates are statements and notices, not the long texts of the licenses (of Apache,
+    GPL, MPL and CC), and BSD-3-Clause holds the two conditions of BSD-2-Clause. Null and empty texts and null ids match nothing; repeated rows
     of an id give one row; an empty table gives an empty result; other columns are not read.
 
     Documents without any anchor word of any template cannot hold enough shingles and are passed over
@@ -104,21 +141,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """
     spark = docs.sparkSession
     table = template_table(spark, templates, k)
-    known = {i: [" ".join(w[j : j + k]) for j in range(len(w) - k + 1)] for i, w in enumerate(words(t) for _, t in templates)}
-    anchor = sorted(set().union(*(anchors(list(dict.fromkeys(s)), containment) for s in known.values())))
-    widths = sorted({w for w in window_sizes([len(words(t)) for _, t in templates]).values()})
+    sizes = _sizes(templates, k)
+    own = {sizes[len(words(t))]: _own(len(words(t)), k) for _, t in templates}
+    known = [[" ".join(w[j : j + own[sizes[len(w)]]]) for j in range(len(w) - own[sizes[len(w)]] + 1)] for w in (words(t) for _, t in templates)]
+    anchor = sorted(set().union(*(anchors(list(dict.fromkeys(s)), containment) for s in known)))
+    widths = sorted(own)
     low = F.lower(F.col(text_col))
     src = docs.where(F.col(id_col).isNotNull() & low.rlike("(?<![a-z0-9])(?:" + "|".join(anchor) + ")(?![a-z0-9])")).select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(low, F.lit(_SQL_WORD), F.lit(0)).alias("tokens"))
     src = cut(src, "tokens")
     n = F.size("tokens")
     listed = F.array(*[F.lit(a) for a in anchor])
     spots = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(listed, F.get("tokens", i)))
-    starts = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(stride(w)).alias("stride")) for w in widths])
+    starts = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(stride(w) if w >= k else 1).alias("stride"), F.lit(own[w]).alias("k")) for w in widths])
 
     def windows_of(x):
         # the starts of this width's windows that cover a spot
         at = F.flatten(F.transform("spots", lambda s: F.transform(F.sequence(F.greatest(F.lit(0), F.floor((s - x["width"]) / x["stride"]).cast("int") + 1), F.floor(s / x["stride"]).cast("int")), lambda j: j * x["stride"])))
-        return F.transform(F.array_distinct(at), lambda a: F.struct(x["width"].alias("width"), a.alias("first_word"), _shingles(F.slice("tokens", a + 1, x["width"]), k).alias("shingles")))
+        return F.transform(F.array_distinct(at), lambda a: F.struct(x["width"].alias("width"), a.alias("first_word"), _shingles(F.slice("tokens", a + 1, x["width"]), x["k"]).alias("shingles")))
 
     marks = table.select("template", "license", "width", "shingles", _bands(F.col("shingles")).alias("bands")).orderBy("template").collect()  # the fixed list
     wide = F.array(*[F.lit(m.width) for m in marks])
@@ -134,7 +173,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     spotted = src.withColumn("spots", spots).where(F.size("spots") > 0)
     spotted = spotted.withColumn("windows", F.filter(F.flatten(F.transform(starts, windows_of)), lambda w: F.size(w["shingles"]) > 0))
     held = F.filter(F.flatten(F.transform("windows", candidates)), lambda c: c["containment"] >= containment)
-    found = spotted.select("doc_id", F.explode(held).alias("c")).select("doc_id", "c.*")
+    spotted = spotted.withColumn("held", held)
+
+    def apart(c):
+        # not the part of a longer template that the document holds
+        inside = F.lit(False)
+        for i, j, before, after in _parts(templates, k):
+            at, end = c["first_word"], c["first_word"] + len(words(templates[i][1]))
+            around = [F.get("tokens", at - len(before) + n) == w for n, w in enumerate(before)] + [F.get("tokens", end + n) == w for n, w in enumerate(after)]
+            there = F.exists("held", lambda h: h["place"] == j) & (c["place"] == i)
+            for x in around:
+                there = there & F.coalesce(x, F.lit(False))
+            inside = inside | there
+        return ~inside
+
+    found = spotted.select("doc_id", F.explode(F.filter("held", apart)).alias("c")).select("doc_id", "c.*")
     names = F.array(*[F.lit(m.license) for m in marks])
     found = found.groupBy("doc_id", "place").agg(F.max("containment").alias("containment"), F.count("*").alias("n_windows"), F.min("first_word").cast("bigint").alias("first_word"))
     return found.select("doc_id", F.get(names, F.col("place")).alias("license"), F.col("place").alias("template"), "containment", "n_windows", "first_word")

@@ -63,3 +63,27 @@ def test_windows_hold_templates_whole():
     for n, w in L.window_sizes(list(range(5, 400))).items():
         assert all(any(a <= at and at + n <= a + w for a in range(0, at + 1, L.stride(w))) for at in range(3 * w))
         assert 1 - (1 - 0.8 * max(1, n - 4) / (w - 4 + 0.2 * max(1, n - 4))) ** L.BANDS > 0.99
+
+
+def test_lines_as_they_stand_in_documents(spark):
+    rng = random.Random(8)
+    lines = {
+        "Released under the MIT License.": {"MIT"}, "Licensed under the Apache License, Version 2.0.": {"Apache-2.0"}, "Licensed under CC BY-NC 4.0.": {"CC-BY-NC-4.0"},
+        "This work is licensed under the GNU General Public License, version 3.": {"GPL-3.0"}, "All rights reserved.": {"Proprietary"}, "All rights are reserved.": set(),
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": {"ISC"},
+    }
+    filler = "onsel verte and the of rights all work license".split()
+    docs = [(10 * i + k, " ".join(rng.choice(filler) for _ in range(40 * k)) + f". {line}\n" + "ver te " * k) for i, line in enumerate(lines) for k in range(4)]
+    got = {i: set() for i, _ in docs}
+    for r in L.scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect():
+        got[r.doc_id].add(r.license)
+    assert all(got[10 * i + k] == want for i, want in enumerate(lines.values()) for k in range(4))
+
+
+def test_short_statement_counts_apart_from_its_longer_template(spark):
+    long = L.TEMPLATES[14][1]
+    texts = [long, f"All rights reserved. {long}", "all rights reserved " * 3000, "rights reserved all", "All rights reserved"]
+    got = {(r.doc_id, r.template): (r.n_windows, r.first_word) for r in L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    short = len(L.TEMPLATES)
+    assert {k: v for k, v in got.items() if k[1] == short} == {(1, short): (1, 0), (2, short): (3000, 0), (4, short): (1, 0)}
+    assert {k[0] for k in got if k[1] == 14} == {0, 1}
