@@ -27,6 +27,8 @@ ENCODINGS = (
 )
 #: Each test of the battery may reject a truly random token this often.
 ALPHA = 1e-3
+#: What p_text may be at most for a token that is found among the tokens of its encoding's make alone.
+MOST_TEXT = 0.003
 #: Share of false finds among the added spans that is aimed at.
 FDR = 0.01
 MASK = "<SECRET>"
@@ -82,12 +84,32 @@ def _below(z: Column) -> Column:
 def battery(tokens: DataFrame) -> DataFrame:
     """Adds to ``tokens(token)``: ``encoding``, ``p_uniform``, ``p_runs``, ``p_serial`` (that a random token of
     this encoding looks no more regular), and ``p_text`` (that ordinary text of this length would agree
-    with itself as seldom); ``p_text`` is 1 if any test of the battery rejects randomness."""
+    with itself as seldom); ``p_text`` is 1 if any test of the battery rejects randomness. ``mixed`` tells
+    whether upper and lower case, digits and signs stand in the token as in random text of its encoding; words
+    of one case never do, whatever letters they are made of."""
     t, enc, size, alphabet, ic = F.col("token"), F.lit(ENCODINGS[-1][0]), F.lit(64.0), F.lit(ENCODINGS[-1][2]), F.lit(ENCODINGS[-1][3])
     for name, like, signs, agree in reversed(ENCODINGS[:-1]):
         hit = t.rlike(like)
         enc, size, alphabet, ic = F.when(hit, name).otherwise(enc), F.when(hit, float(len(signs))).otherwise(size), F.when(hit, signs).otherwise(alphabet), F.when(hit, agree).otherwise(ic)
-    df = tokens.withColumn("encoding", enc).withColumn("_k", size).withColumn("_abc", alphabet).withColumn("_ic", ic)
+    body = F.regexp_replace("token", "=+$", "")
+    length = F.length(body).cast("double")
+    # signs of each class, as the encoding's alphabet has them; chi-squared at 0.001 with 1 and 3 degrees of freedom
+    counts = [F.length(F.regexp_replace(body, f"[^{c}]", "")).cast("double") for c in ("A-Z", "a-z", "0-9", "+/_-")]
+
+    def like(shares, bar):
+        terms = [F.pow(c - length * share, F.lit(2.0)) / (length * share) for c, share in zip(counts, shares, strict=True) if share]
+        off = terms[0]
+        for x in terms[1:]:
+            off = off + x
+        present = F.lit(True)
+        for c, share in zip(counts, shares, strict=True):
+            if share > 0.1:
+                present = present & (c > 0)
+        return present & (off < bar)
+
+    mixed = F.when(F.col("encoding") == "hex", like((0, 6 / 16, 10 / 16, 0), 10.83)).when(F.col("encoding") == "HEX", like((6 / 16, 0, 10 / 16, 0), 10.83))
+    mixed = mixed.when(F.col("encoding") == "base32", like((26 / 32, 0, 6 / 32, 0), 10.83)).otherwise(like((26 / 64, 26 / 64, 10 / 64, 2 / 64), 16.27))
+    df = tokens.withColumn("encoding", enc).withColumn("mixed", mixed).withColumn("_k", size).withColumn("_abc", alphabet).withColumn("_ic", ic)
     # base64url's - and _ are + and / again
     at = F.transform(F.split(F.regexp_replace("token", "=+$", ""), ""), lambda c: F.call_function("instr", F.col("_abc"), c) - 1)
     df = df.withColumn("_x", F.transform(at, lambda i: F.when(i >= 64, i - 2).otherwise(i).cast("double")))
@@ -140,8 +162,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     A null text is an empty one; without finds the counts are 0, ``spans`` is '' and the digest that of
     ''. Base spans are the whole matches. The battery adds whole tokens of 20 characters or more that
     no base span touches: those that pass for random in their inferred encoding, where ordinary text of
-    that length would agree with itself as seldom only so often that among all added spans of the
-    whole table about ``rate`` are false. Repeated rows are each scanned; an empty table
+    that length would agree with itself as seldom only so often that about ``rate`` of the added spans
+    are false. Two families of tests are tried, and either may add a span: all tokens of the table; and
+    the tokens whose classes of signs are those of their encoding, where at most MOST_TEXT passes, so
+    that the second doesn't depend on how many ordinary long words the table holds. The shares of
+    false spans of the two add up to 2 ``rate`` at most. Repeated rows are each scanned; an empty table
     gives an empty result; other columns are not read.
 
     The texts are scanned once; a table of finds, without texts, then gives the histogram of p-values
@@ -160,10 +185,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     finds = df.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k, *_ in BASE], F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))).cast(slim).alias("base"), clear.alias("tokens"), F.expr("uuid()").alias("row"))
     finds = cut(finds, "finds")
     tried = battery(finds.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("s")).select("row", "s.start", "s.rank", "s.end", "s.token"))
-    tried = cut(tried.select("row", "start", "rank", "end", "p_text"), "tried")
-    bins = [(r[0], r[1]) for r in tried.groupBy(_bin(F.col("p_text")).alias("b")).count().collect()]
-    bar = discovery_bin(bins, rate)
-    added = tried.where(_bin(F.col("p_text")) >= bar).groupBy("row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("added"))
+    tried = cut(tried.select("row", "start", "rank", "end", "mixed", "p_text"), "tried")
+    bins = [tuple(r) for r in tried.groupBy("mixed", _bin(F.col("p_text")).alias("b")).count().collect()]
+    together: dict[int, int] = {}
+    for _, b, n in bins:
+        together[b] = together.get(b, 0) + n
+    bar = discovery_bin(list(together.items()), rate)
+    bar_mixed = max(discovery_bin([(b, n) for m, b, n in bins if m], rate), math.ceil(-math.log10(MOST_TEXT) * _BIN))
+    passes = (_bin(F.col("p_text")) >= bar) | F.col("mixed") & (_bin(F.col("p_text")) >= bar_mixed)
+    added = tried.where(passes).groupBy("row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("added"))
     out = finds.join(added, "row", "left").withColumn("added", F.coalesce(F.col("added"), F.array()).cast(slim))
     names = F.array(*[F.lit(k) for k, *_ in BASE], F.lit("random"))
 

@@ -90,3 +90,15 @@ def test_redacted(spark):
         want.append((i, None if t is None else out + t[at:]))
     assert got == sorted(want, key=str)
     assert secrets.redacted(docs.limit(0)).count() == 0
+
+
+def test_ordinary_long_words_do_not_hide_keys(spark):
+    rng = random.Random(9)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    parts = "en er ch te in ung lich keit heit ver tion eau elle ein zu ge".split()
+    keys = {i: "".join(rng.choice(b64) for _ in range(40)) for i in range(40)}
+    words = {1000 + i: "".join(rng.choice(parts) for _ in range(9)).ljust(20, "n") for i in range(4000)}
+    words |= {k: w.capitalize() for k, w in words.items() if k % 10 == 0}
+    docs = spark.createDataFrame([(i, f"a {t} b") for i, t in (keys | words).items()], "doc_id bigint, text string")
+    found = {r.doc_id for r in secrets.scan(docs).where("n_random > 0").collect()}
+    assert len(found & keys.keys()) >= 36 and len(found - keys.keys()) <= 1
