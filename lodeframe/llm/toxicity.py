@@ -29,13 +29,17 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 SEPARATORS = ".-_*~'`"
 _A = 28  # a to z, any other letter, the edge of a word
 _EDGE, _OTHER = 27, 26
-_SPACED = re.compile(r"\s\S(?:[ \t]\S){2,}(?=[\s.,;:!?])")
+_SPACED = re.compile(r"\s\S(?:[ \t]+\S){2,}(?=[\s.,;:!?])")
+_WIDE = re.compile(r"[ \t]{2,}")
 _REPEAT = re.compile(r"([^\W\d_])\1")
 _LONG_REPEAT = re.compile(r"([^\W\d_])\1\1")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _SLICE = 1 << 20
 _LEET_CHARS = frozenset(LEET)
 _EDGE_PUNCT = ".,;:?\"'()[]{}<>#%&=*~`-_/\\"
+#: A sign's letter in a skeleton; i and l, which share signs, are one.
+_SKELETON = str.maketrans({c: "i" if "l" in reads else reads for c, reads in LEET.items()} | {"l": "i"} | dict.fromkeys(SEPARATORS))
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
 _code = None
 
 
@@ -139,6 +143,11 @@ def decode(s: str, lm: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+def skeleton(s: str) -> str:
+    """Signs as their letters, runs as one; separators go."""
+    return _RUN.sub(r"\1", s.translate(_SKELETON))
+
+
 def features(word: str) -> list[str]:
     """What a restored word shows: itself, and its stems of a few lengths as ``^stem``."""
     return [word, *(f"^{word[:n]}" for n in STEMS if len(word) > n)]
@@ -149,7 +158,24 @@ class Restorer:
     token shows is then remembered, up to a fixed number of tokens."""
 
     def __init__(self, lm: np.ndarray, keep=None):
-        self.lm, self.keep, self.memo, self.plain = lm, keep, {}, set()
+        self.lm, self.keep, self.memo, self.plain, self.read = lm, keep, {}, set(), {}
+        self.bare = {skeleton(w) for w in keep or () if w[0] != "^"}
+        self.stems = tuple({skeleton(w[1:]) for w in keep or () if w[0] == "^"})
+
+    def may_hide(self, t: str) -> bool:
+        """Whether a token has the skeleton of a lexicon word, or begins with that of a stem."""
+        s = skeleton(t)
+        return s in self.bare or s.startswith(self.stems)
+
+    def decoded(self, t: str) -> str:
+        """``decode``, remembered for a fixed number of short tokens."""
+        if len(t) > 64:
+            return decode(t, self.lm)
+        if t not in self.read:
+            if len(self.read) >= 50_000:
+                self.read.clear()
+            self.read[t] = decode(t, self.lm)
+        return self.read[t]
 
     def token(self, t: str) -> set[str]:
         """A token's own words and, if it looks obfuscated, its likeliest reading."""
@@ -157,16 +183,16 @@ class Restorer:
         if t.isalpha():
             found = {t}
             if _REPEAT.search(t):
-                if _LONG_REPEAT.search(t):
-                    found.add(decode(t, self.lm))
-                elif self.keep is not None and (once := _REPEAT.sub(r"\1", t)) in self.keep:
+                if self.keep is None or _LONG_REPEAT.search(t) or self.may_hide(t):
+                    found.add(self.decoded(t))
+                if self.keep is not None and (once := _REPEAT.sub(r"\1", t)) in self.keep:
                     found.add(once)
             return found
         parts = _PLAIN.findall(t)
         found, letters = set(parts), sum(map(len, parts))
         signs = sum(map(t.count, _LEET_CHARS))
-        if letters > 1 and (len(parts) > 1 or signs) and letters + signs + sum(map(t.count, SEPARATORS)) == len(t):
-            found.add(decode(t, self.lm))
+        if (len(parts) > 1 or signs) and letters + signs + sum(map(t.count, SEPARATORS)) == len(t) and (letters > 1 or self.may_hide(t)):
+            found.add(self.decoded(t))
         return found
 
     def shown(self, t: str) -> set[str]:
@@ -190,13 +216,15 @@ class Restorer:
         for t in set(text.split()) - self.plain:
             found |= self.memo.get(t) or self.shown(t)
         for m in _SPACED.finditer(f" {text} "):
-            s = "".join(m[0].split())
-            read = "".join(decode(s[i : i + 64], self.lm) for i in range(0, len(s), 64))
-            if self.keep is None:
-                found.update(features(read))
-            else:
-                found.update(w for w in self.keep if w == read or len(w) > 3 and w[0] != "^" and w in read)
-                found.update(self.keep.intersection(features(read)))
+            runs = _WIDE.split(m[0].strip())
+            # wide blanks may stand between letters as well as between words
+            for s in {"".join(m[0].split()), *("".join(r.split()) for r in runs if len(runs) > 1 and len(r) > 4)}:
+                read = "".join(decode(s[i : i + 64], self.lm) for i in range(0, len(s), 64))
+                if self.keep is None:
+                    found.update(features(read))
+                else:
+                    found.update(w for w in self.keep if w == read or len(w) > 3 and w[0] != "^" and w in read)
+                    found.update(self.keep.intersection(features(read)))
         return found
 
 

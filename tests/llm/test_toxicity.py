@@ -91,3 +91,25 @@ def test_edge_cases(spark):
     assert none.lexicon == {} and toxicity.predict(docs.limit(0), none, held).count() == 0
     assert {r.predicted for r in toxicity.predict(docs, toxicity.fit(docs, labels.limit(0), ~held), held).collect()} == {0}
     assert toxicity.fit(docs, labels.withColumn("toxic", F.lit(0)), ~held).lexicon == {}
+
+
+@pytest.mark.parametrize("seen,meant", [("woorthless", "worthless"), ("worthlesss", "worthless"), ("woortthless", "worthless"), ("1d107", "idiot"), ("!d!07", "idiot"), ("1-d-1-0-7", "idiot"), ("i  d  i  o  t", "idiot"), ("sstupidity", "^stupi")])
+def test_hidden_words_reach_the_lattice(seen, meant):
+    lexicon = frozenset({"worthless", "idiot", "^stupi"})
+    text = "the worthless man is an idiot and the stupidity of the land " * 50 + "this was a tall tree in the wood and all of it " * 200
+    r = toxicity.Restorer(toxicity.char_model(toxicity.trigrams(text)), lexicon)
+    assert r.words(f"so {seen} here") == {meant}
+
+
+def test_wide_blanks_between_short_words(model):
+    r = toxicity.Restorer(model, frozenset({"man", "idiot"}))
+    assert r.words("see m a n  i d i o t there") == {"man", "idiot"}
+
+
+def test_plain_numbers_and_doubles_stay(model):
+    r = toxicity.Restorer(model, frozenset({"idiot", "worthless"}))
+    assert r.words("1070 $100 1990 tall tree 10/10 all") == set()
+
+
+def test_fitting_restores_doubles(model):
+    assert "stupid" in toxicity.Restorer(model).words("a stuupid thing")
