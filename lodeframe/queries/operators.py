@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import expressions as E
 from lodeframe.functions.expressions import Cast, DatePart, IsNull, Like, Lit, Ref, Round, Substring, between, in_list
+from lodeframe.llm.scratch import cut
 from lodeframe.operators import udr
 from lodeframe.plans import relations as R
-from lodeframe.queries.registry import Tables, add, plan_query, read, sql_query
+from lodeframe.queries.registry import Tables, add, plan_query, read, run, sql_query
 from lodeframe.session import Engine
 from lodeframe.sources import parquet as P
 
@@ -141,6 +142,23 @@ add("row_id_unique", lambda s, d: Tables(s, d)("orders").withColumn("i", F.monot
 
 for _name, _up, _first, _sql in (("sort_asc_nulls_last", True, False, "ASC NULLS LAST"), ("sort_asc_nulls_first", True, True, "ASC NULLS FIRST"), ("sort_desc_nulls_last", False, False, "DESC NULLS LAST"), ("sort_desc_nulls_first", False, True, "DESC NULLS FIRST")):
     plan_query(_name, R.Fetch(R.Sort(NULLABLE, ((Ref(1), _up, _first), (Ref(0), True, True))), 0, 1200), ("p_partkey", "v"), f"SELECT p_partkey, v FROM {_NULLABLE} ORDER BY v {_sql}, p_partkey LIMIT 1200")
+
+
+def ranked(spark, sf_dir, plan, names: tuple):
+    """A sorted plan's whole output with ``rank``, each row's place in it from 1; no task holds all rows."""
+    at = F.monotonically_increasing_id()
+    rows = cut(run(spark, sf_dir, plan, names).withColumn("_at", at), "sorted")  # the order's bounds are sampled once
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r["part"], r["n"]) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
+    first = spark.createDataFrame(before, "_part bigint, _before bigint")
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.withColumn("_part", part).join(F.broadcast(first), "_part").select(*names, place.alias("rank"))
+
+
+for _name, _up, _first, _sql in (("sort_asc_nulls_last", True, False, "ASC NULLS LAST"), ("sort_asc_nulls_first", True, True, "ASC NULLS FIRST"), ("sort_desc_nulls_last", False, False, "DESC NULLS LAST"), ("sort_desc_nulls_first", False, True, "DESC NULLS FIRST")):
+    _sorted = R.Sort(NULLABLE, ((Ref(1), _up, _first), (Ref(0), True, True)))
+    add(f"{_name}_whole", lambda s, d, p=_sorted: ranked(s, d, p, ("p_partkey", "v")), f"SELECT p_partkey, v, row_number() OVER (ORDER BY v {_sql}, p_partkey) AS rank FROM {_NULLABLE}")
 plan_query("limit_offset", R.Fetch(R.Sort(_W, ((Ref(0), True, True),)), 5, 10), _WC[:3], "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 5")
 plan_query("offset_only", R.Fetch(R.Sort(NATION, ((Ref(0), True, True),)), 20), _NR[:3], "SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_nationkey OFFSET 20")
 plan_query("offset_past_end", R.Fetch(NATION, 1000, 5), _NR[:3], "SELECT n_nationkey, n_name, n_regionkey FROM nation LIMIT 5 OFFSET 1000")
