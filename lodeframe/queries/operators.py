@@ -84,6 +84,9 @@ for _how, _neg in (("left_semi", ""), ("left_anti", "NOT ")):
 _SMALLER = R.Filter(NULLABLE, Ref(0) < 60)
 _SMALLERSQL = f"(SELECT * FROM {_NULLABLE} WHERE p_partkey < 60)"
 plan_query("join_null_safe", R.Join(_SMALLER, _SMALLER, Ref(1).same(Ref(3)), "inner", (0, 2)), ("a", "b"), f"SELECT x.p_partkey AS a, y.p_partkey AS b FROM {_SMALLERSQL} x JOIN {_SMALLERSQL} y ON x.v IS NOT DISTINCT FROM y.v")
+#: The whole nullable table, its nulls included, with one row for each value.
+_PER_VALUE = R.Aggregate(NULLABLE, (Ref(1),), (("count_all", None),))
+plan_query("join_null_safe_whole", R.Join(NULLABLE, _PER_VALUE, Ref(1).same(Ref(2)), "inner", (0, 1, 3)), ("p_partkey", "v", "n"), f"SELECT x.p_partkey, x.v, y.n FROM {_NULLABLE} x JOIN (SELECT v, count(*) AS n FROM {_NULLABLE} GROUP BY v) y ON x.v IS NOT DISTINCT FROM y.v")
 plan_query("join_self", R.Join(NATION, NATION, Ref(2).eq(Ref(5)) & (Ref(0) < Ref(3)), "inner", (0, 3)), ("a", "b"), "SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey")
 for _hint in ("broadcast_right", "broadcast_left", "shuffle"):
     plan_query(f"join_{_hint}_hint", R.Join(ORDERS, CUSTOMER, Ref(1).eq(Ref(5)), "inner", (0, 8), hint=_hint), ("o_orderkey", "c_mktsegment"), "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
