@@ -95,7 +95,7 @@ def _seeds(k: int):
                 times.append(n)
                 items += [i] * len(h)
                 sizes += [len(w)] * len(h)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(items, b.column(0).type), pa.array(sizes, pa.int32()), pa.array(np.concatenate(times))], names=["h", "item", "size", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(items, b.column(0).type), pa.array(sizes, pa.int32()), pa.array(np.concatenate(times))], names=["h", "key", "size", "times"])
 
     return run
 
@@ -151,7 +151,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     items = bench.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("passage")).where("item IS NOT NULL AND passage IS NOT NULL")
-    seeds = cut(items.mapInArrow(_seeds(least), "h bigint, item bigint, size int, times bigint"), "seeds")
+    # each text of an item has a key of its own, so that seeds and sizes of one text are never held against another's
+    items = cut(items.distinct().withColumn("key", F.monotonically_increasing_id()), "items")
+    seeds = cut(items.select("key", "passage").mapInArrow(_seeds(least), "h bigint, key bigint, size int, times bigint"), "seeds")
     at = F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1))
     words = seeds.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
     bits = np.zeros(BITMAP_BITS // 64, np.int64)
@@ -161,10 +163,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     hit = cut(src.mapInArrow(_hits(bitmap, least), "id bigint, text string, hs array<bigint>"), "hits")
     pairs = (
-        hit.select("id", F.explode("hs").alias("h")).distinct().join(seeds, "h").groupBy("id", "item").agg(F.sum("times").alias("n"), F.max("size").alias("size"))
-        .where(F.col("n") * least >= F.col("size") * threshold).select("id", "item")
+        hit.select("id", F.explode("hs").alias("h")).distinct().join(seeds, "h").groupBy("id", "key").agg(F.sum("times").alias("n"), F.max("size").alias("size"))
+        .where(F.col("n") * least >= F.col("size") * threshold).select("id", "key")
     )
-    both = hit.select("id", "text").join(pairs, "id").join(items, "item").select("id", "text", "item", "passage")
+    both = hit.select("id", "text").join(pairs, "id").join(items, "key").select("id", "text", "item", "passage")
     found = both.mapInArrow(_tiled(least, threshold), "doc_id bigint, item_id bigint, n_tokens int, n_covered int, n_tiles int, coverage double")
     best = F.max(F.struct("coverage", "n_tokens", "n_covered", "n_tiles")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_tokens", "b.n_covered", "b.n_tiles", "b.coverage")

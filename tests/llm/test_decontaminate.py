@@ -73,3 +73,12 @@ def test_empty_tables(spark):
     docs, bench = _tables(spark)
     assert D.contaminated(docs.limit(0), bench).collect() == []
     assert D.contaminated(docs, bench.limit(0)).collect() == []
+
+
+def test_each_text_of_an_item_counts_by_itself(spark):
+    short = "one two three four five six seven eight nine ten"
+    long = " ".join(f"w{i}" for i in range(1000))
+    bench = spark.createDataFrame([(1, long), (1, short), (1, short), (2, long)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(5, f"a b {short} c d"), (6, long), (7, "nothing of it")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.n_tokens, r.coverage) for r in D.contaminated(docs, bench).collect()}
+    assert got == {(5, 1, 10, 1.0), (6, 1, 1000, 1.0), (6, 2, 1000, 1.0)}
