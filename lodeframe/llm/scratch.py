@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +60,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows per Arrow batch for passes over whole texts: 512, unless the session sets its own. Batches of the
-    default 10,000 rows are tens of MB, of which JVM and Python hold several for each task."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512):
+    """What is run inside gets Arrow batches of at most ``rows`` rows, for passes over whole texts: batches of
+    the default 10,000 rows are tens of MB, of which JVM and Python hold several for each task. A session
+    with its own size keeps it, and the default is back afterwards."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "512")
+    before = spark.conf.get(name)
+    if before == "10000":
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

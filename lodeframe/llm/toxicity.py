@@ -1,8 +1,8 @@
-"""Toxicity: noisy-channel deobfuscation of suspicious tokens, then a lexicon score (words and stems) of the restored text.
+"""Toxicity: noisy-channel deobfuscation of suspicious tokens, then a logistic score of the restored text.
 
 Tokens with leetspeak, spaced-out letters or repetition form a character lattice; Viterbi picks the
 likeliest reading under a character trigram model of the whole corpus. Plain words restore to
-themselves and skip the lattice.
+themselves and skip the lattice. The restored text is scored by weighted words and stems.
 """
 
 from __future__ import annotations
@@ -16,14 +16,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.scratch import cut, small_batches
+from lodeframe.llm.scratch import cut, discard, small_batches
 
 #: Labelled rows that the lexicon is learnt from, at most.
 SAMPLE = 20_000
+#: Words and stems that the classifier may weigh, at most: those that go best with the label.
+FEATURES = 8192
 #: Lengths of the stems that count as features beside whole words: what inflects shows by its stem.
-STEMS = (4, 5, 6)
-#: Least log-likelihood ratio of a word and the label.
-LEAST_RATIO = 24.0
+STEMS = (3, 4, 5, 6, 7, 8)
+#: Toxic rows of the sample that must hold a feature, and how far its toxic share must exceed that of all rows.
+LEAST_HOLDERS, LEAST_LIFT = 3, 1.5
+#: Penalties of the logistic fit.
+L1, L2 = 0.02, 0.05
+#: Of the features that stand in toxic rows more often than not, so many of the greatest ratio are also looked for where
+#: only a skeleton hints at them (one doubled letter, a sign among single letters); stems of this length or more.
+HIDDEN, LEAST_STEM = 256, 5
 #: What a sign may stand for besides itself.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = ".-_*~'`"
@@ -76,11 +83,13 @@ def _count_pass(batches):
 
 @dataclass
 class Model:
-    """log P(next | two before), the toxic share among rows with each lexicon entry, and without any."""
+    """log P(next | two before), the weight of each word and stem, the log-odds of a text without any, and the
+    words and stems that are looked for behind every obfuscation."""
 
     lm: np.ndarray
-    lexicon: dict[str, float] = field(default_factory=dict)
-    base: float = 0.0
+    weights: dict[str, float] = field(default_factory=dict)
+    bias: float = 0.0
+    hidden: frozenset = frozenset()
 
 
 def char_model(counts: np.ndarray, words: dict[str, float] | None = None) -> np.ndarray:
@@ -155,17 +164,21 @@ def features(word: str) -> list[str]:
 
 class Restorer:
     """The features of a text's distinct words after deobfuscation. With ``keep``, only those in it; what a
-    token shows is then remembered, up to a fixed number of tokens."""
+    token shows is then remembered, up to a fixed number of tokens. ``hidden``: those of ``keep`` (all, if not
+    given) that are also looked for where only a skeleton, or a run of single letters, hints at them."""
 
-    def __init__(self, lm: np.ndarray, keep=None):
+    def __init__(self, lm: np.ndarray, keep=None, hidden=None):
         self.lm, self.keep, self.memo, self.plain, self.read = lm, keep, {}, set(), {}
-        self.bare = {skeleton(w) for w in keep or () if w[0] != "^"}
-        self.stems = tuple({skeleton(w[1:]) for w in keep or () if w[0] == "^"})
+        hidden = (keep or frozenset()) if hidden is None else hidden
+        self.inside = [w for w in hidden if w[0] != "^" and len(w) > 3]
+        self.bare = {skeleton(w) for w in hidden if w[0] != "^"}
+        self.stems = {skeleton(w[1:]) for w in hidden if w[0] == "^"}
+        self.lengths = sorted({len(x) for x in self.stems})
 
     def may_hide(self, t: str) -> bool:
-        """Whether a token has the skeleton of a lexicon word, or begins with that of a stem."""
+        """Whether a token has the skeleton of a hidden word, or begins with that of a stem."""
         s = skeleton(t)
-        return s in self.bare or s.startswith(self.stems)
+        return s in self.bare or any(s[:n] in self.stems for n in self.lengths if n <= len(s))
 
     def decoded(self, t: str) -> str:
         """``decode``, remembered for a fixed number of short tokens."""
@@ -219,154 +232,126 @@ class Restorer:
             runs = _WIDE.split(m[0].strip())
             # wide blanks may stand between letters as well as between words
             for s in {"".join(m[0].split()), *("".join(r.split()) for r in runs if len(runs) > 1 and len(r) > 4)}:
-                read = "".join(decode(s[i : i + 64], self.lm) for i in range(0, len(s), 64))
+                read = decode(s, self.lm)
                 if self.keep is None:
                     found.update(features(read))
                 else:
-                    found.update(w for w in self.keep if w == read or len(w) > 3 and w[0] != "^" and w in read)
+                    found.update(f for w in self.inside if w in read for f in features(w) if f in self.keep)
                     found.update(self.keep.intersection(features(read)))
         return found
 
 
-def covering(rows: list[tuple[list[str], int, int]], n: int, k: int) -> dict[str, float]:
-    """Words and stems, best first, each judged on the rows that no word before it explains: so the other words of a
-    toxic text, though it may have thousands of copies, don't pass for toxic ones. ``rows``: (words, toxic
-    rows, rows) with the same words; ``n`` rows, ``k`` toxic ones in all. Gives each word's toxic share
-    among all rows that hold it."""
-    total: dict[str, list[int]] = {}
-    for words, x, y in rows:
-        for w in words:
-            t = total.setdefault(w, [0, 0])
-            t[0] += x
-            t[1] += y
-    now = {w: list(t) for w, t in total.items()}
-    holders: dict[str, list[int]] = {}
-    for i, (words, *_) in enumerate(rows):
-        for w in words:
-            holders.setdefault(w, []).append(i)
-    left, out = [True] * len(rows), {}
-
-    def part(x, e):
-        return x * math.log(x / e) if x > 0 and e > 0 else 0.0
-
-    def gain(w):
-        a, m = now[w]
-        if a < 2 or not k or a * n <= 2 * k * m:
-            return 0.0
-        return 2 * (part(a, m * k / n) + part(m - a, m * (n - k) / n) + part(k - a, (n - m) * k / n) + part(n - m - k + a, (n - m) * (n - k) / n))
-
-    while now:
-        best = max(now, key=lambda w: (gain(w), w))
-        if gain(best) <= LEAST_RATIO:
+def logistic(rows: list[np.ndarray], y: np.ndarray, times: np.ndarray, size: int, l1: float = L1, l2: float = L2, rounds: int = 600) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the log-loss of ``rows`` (places of the features that each holds, of ``size``)
+    with labels ``y``, each counted ``times`` times, plus l1 * |w| + l2 * w^2 / 2, by accelerated proximal
+    steps. The same rows in any order give the same weights but for rounding."""
+    n = len(rows)
+    row, col = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+    w, b, t = np.zeros(size), math.log(((times * y).sum() + 0.5) / ((times * (1 - y)).sum() + 0.5)), 1.0
+    x, top = np.ones(size + 1), 1.0
+    for _ in range(40):  # the largest curvature
+        z = 0.25 * times * (np.bincount(row, x[col], n) + x[-1])
+        x = np.append(np.bincount(col, z[row], size), z.sum())
+        top = float(np.linalg.norm(x)) or 1.0
+        x /= top
+    step, v, c = 1 / (1.05 * top + l2), w, b
+    for _ in range(rounds):
+        off = times * (1 / (1 + np.exp(-np.clip(np.bincount(row, v[col], n) + c, -500, 500))) - y)
+        new = v - step * (np.bincount(col, off[row], size) + l2 * v)
+        new, new_b = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0), c - step * off.sum()
+        back = (v - new) @ (new - w) + (c - new_b) * (new_b - b) > 0  # momentum leads uphill: start it anew
+        ahead = 1.0 if back else (1 + math.sqrt(1 + 4 * t * t)) / 2
+        moved = max(float(np.abs(new - w).max(initial=0)), abs(new_b - b))
+        v, c = new + (t - 1) / ahead * (new - w), new_b + (t - 1) / ahead * (new_b - b)
+        w, b, t = new, float(new_b), ahead
+        if moved < 1e-6:
             break
-        out[best] = total[best][0] / total[best][1]
-        for i in holders[best]:
-            if left[i]:
-                left[i] = False
-                words, x, y = rows[i]
-                n, k = n - y, k - x
-                for w in words:
-                    if w in now:
-                        now[w][0] -= x
-                        now[w][1] -= y
-        del now[best]
-        now = {w: t for w, t in now.items() if t[0] >= 2}
-    return dict(sorted(out.items()))
-
-
-def spread(rows: list[tuple[list[str], int, int]], share: float = 0.99, alike: float = 0.5, most: int = 4) -> dict[str, float]:
-    """Words, and stems of several of them, that always go with the label and whose texts vary: no more than ``most`` others, but for
-    those of the same stem, stand in nearly the same toxic rows. The words of one copied text all do."""
-    total: dict[str, list[int]] = {}
-    toxic = [(set(words), x) for words, x, _ in rows if x]
-    for words, x, y in rows:
-        for w in words:
-            t = total.setdefault(w, [0, 0])
-            t[0] += x
-            t[1] += y
-    strong = sorted(w for w, (a, m) in total.items() if a >= 3 and a >= share * m)
-    place = {w: i for i, w in enumerate(strong)}
-    held = np.zeros((len(toxic), len(strong)), np.float32)
-    for r, (words, x) in enumerate(toxic):
-        held[r, [place[w] for w in words if w in place]] = math.sqrt(x)
-    size = (held**2).sum(0)
-    out = {}
-    for a in range(0, len(strong), 512):
-        both = held[:, a : a + 512].T @ held
-        near = both >= alike * (size[a : a + 512, None] + size[None, :] - both)
-        for i, row in enumerate(near):
-            w = strong[a + i]
-            bare = w.removeprefix("^")
-            kin = [strong[j].removeprefix("^") for j in np.flatnonzero(row)]
-            if w[0] == "^" and sum(u.startswith(bare) for u in strong) < 3:
-                continue  # a stem needs several words; a single one stands for itself
-            if sum(not (u.startswith(bare[:4]) or bare.startswith(u[:4])) for u in kin) <= most:
-                out[w] = total[w][0] / total[w][1]
-    return out
+    return w, b
 
 
 def _feature_pass(shared):
     def run(batches):
-        r = Restorer(shared.value)
+        r = Restorer(*shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(r.words(t.as_py())) for t in b.column(1)], pa.list_(pa.string()))], names=["toxic", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(r.words(t.as_py())) for t in b.column(2)], pa.list_(pa.string()))], names=["toxic", "copies", "words"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """The character model counts every text of ``docs``. The lexicon comes from at most ``sample`` labelled
-    rows where ``learn`` holds (the first by a hash of the id, and so of a proven size): words whose
-    presence goes with the label beyond chance, each on what the better ones leave (``covering``) or in
-    texts that vary (``spread``)."""
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most: int = FEATURES) -> Model:
+    """The character model counts every text of ``docs``. The weights come from at most ``sample`` labelled
+    ids where ``learn`` holds (the first by a hash of the id; one text for each id, the greatest), over at most ``most`` words
+    and stems, those of the greatest log-likelihood ratio with the label. Equal texts are one row of the
+    fit, of weight 1 + log(copies) and with the mean of their labels, so that a text of many copies
+    doesn't decide alone.
+
+    An id with both labels counts as toxic; null ids and labels teach nothing. Without a labelled text every
+    text scores 0; with labels of one kind only, about the share of that kind (one half added to each kind).
+    """
     spark = docs.sparkSession
-    small_batches(spark)
-    grams = cut(docs.select(F.col(text_col).alias("text")).mapInArrow(_count_pass, "at int, n bigint"), "trigrams")
+    with small_batches(spark):
+        grams = cut(docs.select(F.col(text_col).alias("text")).mapInArrow(_count_pass, "at int, n bigint"), "trigrams")
     rows = grams.groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    discard(grams)
     counts = np.zeros(_A**3, np.int64)
     counts[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     lm = char_model(counts)
 
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit(7)), "_id").limit(sample)
-    learnt = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("toxic", "text")
-    got = cut(learnt.mapInArrow(_feature_pass(spark.sparkContext.broadcast(lm)), "toxic int, words array<string>"), "features")
-    total = got.agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
-    n, k = total.n, int(total.k or 0)
-    if not n or not k or k == n:
-        return Model(lm, {}, k / n if n else 0.0)
-    by_word = got.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("m")).where("a >= 3")
+    learnt = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
+    learnt = learnt.groupBy("_id", "toxic").agg(F.max("text").alias("text")).groupBy("text").agg(F.avg("toxic").alias("toxic"), F.count("*").alias("copies"))
+    learnt = cut(learnt.select("toxic", "copies", "text"), "sample")
+
+    def shown(*restorer) -> DataFrame:
+        with small_batches(spark):
+            return cut(learnt.mapInArrow(_feature_pass(spark.sparkContext.broadcast(restorer)), "toxic double, copies bigint, words array<string>"), "features")
+
+    got = shown(lm)
+    total = got.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0.0)).alias("k")).first()
+    n, k = total.n, total.k
+    if not n:
+        return Model(lm, {}, -math.inf)
+    if k in (0, n):
+        return Model(lm, {}, math.log((k + 0.5) / (n - k + 0.5)))
     a, m = F.col("a"), F.col("m")
 
     def part(x, e):
         return F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
 
     g2 = 2 * (part(a, m * k / n) + part(m - a, m * (n - k) / n) + part(F.lit(k) - a, (n - m) * k / n) + part(n - m - k + a, (n - m) * (n - k) / n))
-    likely = cut(by_word.where((a / m > 2 * k / n) & (g2 > LEAST_RATIO) & (F.length("word") > 2)).select("word"), "likely")
-    rows = got.withColumn("row", F.monotonically_increasing_id()).select("toxic", "row", F.explode("words").alias("word")).join(F.broadcast(likely), "word")
-    rows = rows.groupBy("row").agg(F.max("toxic").alias("toxic"), F.sort_array(F.collect_list("word")).alias("words")).groupBy("words").agg(F.sum("toxic").alias("k"), F.count("*").alias("n"))
-    rows = [(r.words, int(r.k), r.n) for r in rows.collect()]
-    lexicon = covering(rows, n, k) | spread(rows)
-    if lexicon:
-        listed = F.array(*[F.lit(w) for w in lexicon])
-        rest = got.where(~F.arrays_overlap("words", listed)).agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
-        base = (int(rest.k or 0) + 1) / (rest.n + 2)
-        lm = char_model(counts, {w.removeprefix("^"): 1e-4 * float(counts.sum()) ** 0.75 for w in lexicon})
-    else:
-        base = k / n
-    return Model(lm, lexicon, base)
+    by_word = got.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("m"))
+    likely = by_word.where((a >= LEAST_HOLDERS) & (a * n > LEAST_LIFT * k * m) & (F.length("word") > 2)).withColumn("g2", g2)
+    best = likely.orderBy(F.desc("g2"), "word").limit(most).collect()  # at most ``most``
+    discard(got)
+    names = [r.word for r in best]
+    hidden = frozenset([r.word for r in best if 2 * r.a > r.m and (r.word[0] != "^" or len(r.word) > LEAST_STEM)][:HIDDEN])
+    lm = char_model(counts, {f.removeprefix("^"): 1e-4 * float(counts.sum()) ** 0.75 for f in hidden})
+    # once more, as the score will see them
+    got = shown(lm, frozenset(names), hidden)
+    place = spark.createDataFrame([(w, i) for i, w in enumerate(names)], "word string, place int")
+    held = got.withColumn("row", F.monotonically_increasing_id()).select("toxic", "copies", "row", F.explode_outer("words").alias("word")).join(F.broadcast(place), "word", "left")
+    held = held.groupBy("row").agg(F.max("toxic").alias("y"), F.max("copies").alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
+    held = held.orderBy("places", "y", "n").drop("row").toPandas()  # at most ``sample`` rows of at most ``most`` places
+    discard(got)
+    discard(learnt)
+    sets = [np.asarray(x, np.int64) for x in held["places"]]
+    w, bias = logistic(sets, held["y"].to_numpy(float), 1 + np.log(held["n"].to_numpy(float)), len(names))
+    return Model(lm, {names[i]: float(w[i]) for i in np.flatnonzero(w)}, bias, hidden)
 
 
 class Scorer:
+    """1 / (1 + exp(-(bias + the weights of the features that the restored text shows)))."""
+
     def __init__(self, model: Model):
-        self.model, self.restorer = model, Restorer(model.lm, frozenset(model.lexicon))
+        self.model, self.restorer = model, Restorer(model.lm, frozenset(model.weights), model.hidden)
+
+    def one(self, text: str | None) -> float:
+        z = self.model.bias + math.fsum(self.model.weights[f] for f in self.restorer.words(text))
+        return 1 / (1 + math.exp(-z)) if z > -500 else 0.0
 
     def __call__(self, texts) -> np.ndarray:
-        m, out = self.model, np.empty(len(texts))
-        for k, t in enumerate(texts):
-            clean = math.prod(1 - min(m.lexicon[w], 0.999) for w in self.restorer.words(t.as_py()))
-            out[k] = 1 - (1 - m.base) * clean
-        return np.clip(out, 0.0, 1.0)
+        return np.array([self.one(t.as_py()) for t in texts], float)
 
 
 def _score_pass(shared):
@@ -389,18 +374,21 @@ def _keep_pass(shared, at: int, below: float):
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", below: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, unchanged, that score under ``below``; no row is moved."""
+    """The rows of ``docs``, unchanged, that score under ``below``, as a written table; no row is moved."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_keep_pass(shared, docs.columns.index(text_col), below), docs.schema)
+    with small_batches(docs.sparkSession):
+        return cut(docs.mapInArrow(_keep_pass(shared, docs.columns.index(text_col), below), docs.schema), "clean")
 
 
 def predict(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
-    The score combines the restored text's lexicon words as independent causes with the share of toxic
-    rows that hold none (noisy or), so empty and null texts get that base share. Repeated rows
-    score alike; other columns are not read.
+    The score is the logistic function of the bias and the weights of the words and stems that the restored
+    text shows, each once; null and empty texts get that of the bias alone. Repeated rows score alike; an empty table
+    gives an empty result; other columns are not read.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(_score_pass(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    with small_batches(docs.sparkSession):
+        return cut(src.mapInArrow(_score_pass(shared), f"doc_id {kind}, held_out boolean, score double, predicted int"), "scores")
