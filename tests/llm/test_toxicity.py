@@ -132,13 +132,13 @@ def test_words_find_spaced_and_plain(model):
 
 
 def _fitted(rows, copied):
-    """Words and stems over one half in a text that holds nothing else of them. ``rows``: (words, toxic texts, texts);
-    ``copied``: (words, label, copies of one text)."""
+    """Whether a text with just these words scores over one half. ``rows``: (words, toxic texts, texts); ``copied``:
+    (words, label, copies of one text)."""
     every = [(w, k / n, n) for w, k, n in rows] + [(w, y, 1 + np.log(n)) for w, y, n in copied]
     names = sorted({w for words, *_ in every for w in words})
     sets = [np.array([names.index(w) for w in words]) for words, *_ in every]
     w, b = toxicity.logistic(sets, np.array([y for _, y, _ in every], float), np.array([n for *_, n in every], float), len(names))
-    return {names[i] for i in range(len(names)) if w[i] + b > 0}
+    return lambda *words: b + sum(w[names.index(x)] for x in words) > 0
 
 
 def test_logistic_is_the_least(spark):
@@ -158,18 +158,22 @@ def test_logistic_is_the_least(spark):
 
 def test_words_of_copies_dont_pass_for_toxic():
     rows = [(["idiot", "the"], 300, 300), (["the"], 0, 5000), (["other"], 1, 700), (["lowei1", "^lowei"], 40, 40), (["lowei2", "^lowei"], 40, 40)]
-    assert _fitted(rows, [(["idiot", "lonely", "other", "words"], 1, 900)]) == {"idiot", "^lowei"}
+    toxic = _fitted(rows, [(["idiot", "lonely", "other", "words"], 1, 900)])
+    assert toxic("idiot") and toxic("lowei1", "^lowei") and toxic("^lowei")
+    assert not any(map(toxic, ("lonely", "words", "other", "the"))) and not toxic("lonely", "other", "words")
 
 
 def test_varied_words_and_no_copied_ones():
     bad = ["idiot", "moron", "clown", "trash", "scum", "loser", "stupid", "worthless"]
     copied = [f"{chr(97 + k)}{k}word" for k in range(20)]
-    rows = [([bad[i], bad[(i + d) % 8]], 1, 1) for i in range(8) for d in range(1, 8)] + [(["fine"], 0, 500), (["fine", "odd"], 3, 9)]
-    assert _fitted(rows, [([*copied, "idiot"], 1, 9)]) == set(bad)
+    rows = [([bad[i], bad[(i + d) % 8]], 1, 1) for i in range(8) for d in range(1, 8)] + [([], 0, 500), (["odd"], 3, 9)]  # words of clean texts are no features
+    toxic = _fitted(rows, [([*copied, "idiot"], 1, 9)])
+    assert all(toxic(a, b) for a in bad for b in bad if a != b)
+    assert not toxic(*copied) and not any(map(toxic, copied))
 
 
 def test_stems_are_features(model):
-    assert toxicity.features("loweient") == ["loweient", "^lowe", "^lowei", "^loweie"] and toxicity.features("abc") == ["abc"]
+    assert toxicity.features("loweient") == ["loweient", "^low", "^lowe", "^lowei", "^loweie", "^loweien"] and toxicity.features("abc") == ["abc"]
     r = toxicity.Restorer(model, frozenset({"^lowei"}))
     assert r.words("ein Loweischaft, und") == {"^lowei"} and r.words("ein loweischaft") == {"^lowei"} and r.words("ein") == set()
 
