@@ -9,8 +9,13 @@ from pyspark.sql import types as T
 from lodeframe.functions.types import INTEGRAL
 
 
-def aggregate_column(kind: str, arg: tuple[Column, T.DataType] | None) -> Column:
-    """``arg`` is (column, type), or None for count_all. Null inputs are passed over by all but count_all."""
+#: Aggregates that give the id of a row.
+PLACES = ("argmin", "argmax")
+
+
+def aggregate_column(kind: str, arg: tuple[Column, T.DataType] | None, row: Column | None = None) -> Column:
+    """``arg`` is (column, type), or None for count_all. Null inputs are passed over by all but count_all. ``row``:
+    the row id that argmin and argmax give; of equal values the smallest id, null if all are null."""
     if kind == "count_all":
         return F.count(F.lit(1))
     if arg is None:
@@ -43,10 +48,12 @@ def aggregate_column(kind: str, arg: tuple[Column, T.DataType] | None) -> Column
             return F.bool_or(c.cast("boolean"))
         case "all":
             return F.bool_and(c.cast("boolean"))
-        case "argmin":
-            return F.min_by(F.monotonically_increasing_id(), c)
-        case "argmax":
-            return F.max_by(F.monotonically_increasing_id(), c)
+        case "argmin" | "argmax":
+            if row is None:
+                raise ValueError(f"{kind} needs a row id")
+            if kind == "argmin":
+                return F.min(F.when(c.isNotNull(), F.struct(c.alias("v"), row.alias("row"))))["row"]
+            return -F.max(F.when(c.isNotNull(), F.struct(c.alias("v"), (-row).alias("row"))))["row"]
         case "m2":
             return F.var_pop(c.cast("double")) * F.count(c)
         case "sum_with_overflow":

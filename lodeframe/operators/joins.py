@@ -63,11 +63,10 @@ def join_frames(left: DataFrame, right: DataFrame, condition: E.Expr, how: str =
     if how == "single":
         if not keys:
             out = out.groupBy("_row", *l_names).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in r_names])
-        # a second match raises, as a scalar subquery's second row would
-        again = F.raise_error(F.lit("a single join found more than one match"))
-        first, *rest = l_names + r_names
-        guarded = F.when(F.col("_n") > 1, again.cast(out.schema[first].dataType)).otherwise(F.col(first)).alias(first)
-        out = out.select(guarded, *rest)
+        # a second match raises, as a scalar subquery's second row would, whatever columns are used later: a filter
+        # is never pruned, and assert_true gives null where it holds
+        once = F.assert_true(F.col("_n").isNull() | (F.col("_n") <= 1), "a single join found more than one match")
+        out = out.where(once.isNull()).select(*l_names, *r_names)
     names = list(left.columns) if how in ("left_semi", "left_anti") else [*left.columns, *right.columns]
     seen: dict[str, int] = {}
     final = []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeframe.functions import expressions as E
-from lodeframe.operators.aggregates import aggregate_column
+from lodeframe.operators.aggregates import PLACES, aggregate_column
 from lodeframe.operators.joins import join_frames
 from lodeframe.operators.windows import window_column
 from lodeframe.plans import relations as R
@@ -44,8 +44,8 @@ def compile_plan(plan: R.Relation, table_of) -> DataFrame:
         for part in conjuncts(condition):
             if isinstance(part, E.InSubquery):
                 other = subqueries[part.relation]
-                key = other.select(other[f"`{other.columns[0]}`"].alias("_in")).distinct()
-                df = df.join(key, value(part.needle, df)[0] == F.col("_in"), "left_semi")
+                key = other.select(other[f"`{other.columns[0]}`"].alias("_lodeframe_in")).distinct()
+                df = df.join(key, value(part.needle, df)[0] == F.col("_lodeframe_in"), "left_semi")
             else:
                 rest = part if rest is None else rest & part
         return df if rest is None else df.where(value(rest, df)[0])
@@ -85,14 +85,30 @@ def compile_plan(plan: R.Relation, table_of) -> DataFrame:
             case R.Filter(child, condition, projection, subqueries):
                 return take(filtered(go(child), condition, [go(s) for s in subqueries]), projection)
             case R.Join():
-                return take(join_frames(go(r.left), go(r.right), r.condition, r.type, r.hint), r.projection)
+                left, right, how = go(r.left), go(r.right), r.type
+                n = len(left.columns)
+                if how == "inner" and r.unique in ("right", "either") and r.projection is not None and all(i < n for i in r.projection):
+                    how = "left_semi"  # each left row meets one right row at most, and none of its columns is wanted
+                if r.left_filter is not None:
+                    left = left.where(value(r.left_filter, left)[0])
+                if r.right_filter is not None:
+                    right = right.where(value(r.right_filter, right)[0])
+                return take(join_frames(left, right, r.condition, how, r.hint), r.projection)
             case R.Aggregate(child, keys, measures, mask):
                 df = go(child)
+                row = None
+                if any(kind in PLACES for kind, _ in measures):
+                    # the child's own row id if it appends one, else a new one; before the mask, so that ids are those of the input
+                    if isinstance(child, R.RowId):
+                        row = columns_of(df)[-1]
+                    else:
+                        df = df.select(*columns_of(df), F.monotonically_increasing_id().alias("_lodeframe_row"))
+                        row = df["_lodeframe_row"]
                 if mask is not None:
                     df = df.where(value(mask, df)[0])
                 ks = [value(k, df)[0].alias(n) for k, n in zip(keys, unique_names(_name(k, df) for k in keys), strict=True)]
                 names = unique_names([*(_name(k, df) for k in keys), *(f"{kind}_{i}" for i, (kind, _) in enumerate(measures))])[len(keys) :]
-                ms = [aggregate_column(kind, None if e is None else value(e, df)).alias(n) for (kind, e), n in zip(measures, names, strict=True)]
+                ms = [aggregate_column(kind, None if e is None else value(e, df), row).alias(n) for (kind, e), n in zip(measures, names, strict=True)]
                 if not ms:
                     return df.select(*ks).distinct()
                 return df.groupBy(*ks).agg(*ms) if ks else df.agg(*ms)

@@ -56,7 +56,8 @@ class Filter(Relation):
 @dataclass(frozen=True)
 class Join(Relation):
     """The condition counts the left columns first, then the right ones. ``hint``: broadcast_left,
-    broadcast_right or shuffle. ``unique``: none, left, right or either, set by a rule."""
+    broadcast_right or shuffle. ``unique``: none, left, right or either, set by a rule. ``left_filter`` and
+    ``right_filter``: what rows of a side take part at all, by the side's own columns."""
 
     left: Relation
     right: Relation
@@ -65,6 +66,8 @@ class Join(Relation):
     projection: tuple | None = None
     hint: str | None = None
     unique: str = "none"
+    left_filter: E.Expr | None = None
+    right_filter: E.Expr | None = None
 
 
 @dataclass(frozen=True)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeframe.functions import expressions as E
 from lodeframe.functions.expressions import Cast, DatePart, IsNull, Like, Lit, Ref, Round, Substring, between, in_list
-from lodeframe.llm.scratch import cut
 from lodeframe.operators import udr
 from lodeframe.plans import relations as R
 from lodeframe.queries.registry import Tables, add, plan_query, read, run, sql_query
 from lodeframe.session import Engine
 from lodeframe.sources import parquet as P
+from lodeframe.sources.options import DEFAULTS, option_text
+from lodeframe.sources.shared import fresh_path, written
 
 LINE = read("lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
 PART = read("part", "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
@@ -56,6 +58,9 @@ plan_query("round", project(PART, Ref(0), Round(Ref(5), 0)), ("p_partkey", "r"),
 for _part, _sql in (("year", "year"), ("month", "month"), ("day", "day"), ("weekday", "isodow"), ("hour", "hour"), ("minute", "minute"), ("second", "second")):
     plan_query(f"date_part_{_part}", project(EVENTS, Ref(0), DatePart(_part, Ref(1))), ("event_id", "p"), f"SELECT event_id, date_part('{_sql}', ts)::SMALLINT AS p FROM events")
 plan_query("date_part_millisecond", project(EVENTS, Ref(0), DatePart("millisecond", Ref(1))), ("event_id", "p"), "SELECT event_id, (date_part('millisecond', ts)::BIGINT % 1000)::SMALLINT AS p FROM events")
+plan_query("date_part_microsecond", project(EVENTS, Ref(0), DatePart("microsecond", Ref(1))), ("event_id", "p"), "SELECT event_id, (date_part('microsecond', ts)::BIGINT % 1000)::SMALLINT AS p FROM events")
+# Spark keeps microseconds: the nanoseconds within one are always 0
+plan_query("date_part_nanosecond", project(EVENTS, Ref(0), DatePart("nanosecond", Ref(1))), ("event_id", "p"), "SELECT event_id, (epoch_ns(ts) % 1000)::SMALLINT AS p FROM events")
 plan_query("cast_date", project(ORDERS, Ref(0), Cast(Ref(2), "date")), ("o_orderkey", "d"), "SELECT o_orderkey, o_orderdate::DATE AS d FROM orders")
 
 # --- joins ---------------------------------------------------------------------------------------
@@ -67,7 +72,8 @@ _FEWSQL = "(SELECT * FROM region WHERE r_regionkey < 3)"
 for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("full", "FULL JOIN")):
     plan_query(f"join_{_how}", R.Join(NATION, _FEW, _ON, _how), _NR, f"SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name FROM nation {_sql} {_FEWSQL} r ON n_regionkey = r_regionkey")
 plan_query("join_single", R.Join(NATION, _FEW, _ON, "single"), _NR, f"SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name FROM nation LEFT JOIN {_FEWSQL} r ON n_regionkey = r_regionkey")
-_OC = Ref(0).eq(Ref(5))
+plan_query("join_single_projected", R.Join(NATION, _FEW, _ON, "single", (1, 4)), ("n_name", "r_name"), f"SELECT n_name, r_name FROM nation LEFT JOIN {_FEWSQL} r ON n_regionkey = r_regionkey")
+plan_query("join_side_filters", R.Join(NATION, REGION, _ON, "left", left_filter=Ref(0) > 4, right_filter=Ref(0) < 3), _NR, f"SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name FROM (SELECT * FROM nation WHERE n_nationkey > 4) n LEFT JOIN {_FEWSQL} r ON n_regionkey = r_regionkey")
 _ORDERS_OF = read("orders", "o_orderkey", "o_custkey")
 _BIG = Ref(0).eq(Ref(5))
 plan_query("join_semi", R.Join(CUSTOMER, _ORDERS_OF, _BIG, "left_semi", (0,)), ("c_custkey",), "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -81,12 +87,9 @@ plan_query("join_mixed", R.Join(SUPPLIER, CUSTOMER, Ref(1).eq(Ref(4)) & (Ref(2)
 for _how, _neg in (("left_semi", ""), ("left_anti", "NOT ")):
     plan_query(f"join_mixed_{_how[5:]}", R.Join(SUPPLIER, CUSTOMER, Ref(1).eq(Ref(4)) & (Ref(2) > Ref(5) + 9000.0), _how), ("s_suppkey", "s_nationkey", "s_acctbal"), f"SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE {_neg}EXISTS (SELECT 1 FROM customer WHERE s_nationkey = c_nationkey AND s_acctbal > c_acctbal + 9000.0)")
     plan_query(f"join_theta_{_how[5:]}", R.Join(NATION, _FEW, Ref(2) < Ref(3), _how), ("n_nationkey", "n_name", "n_regionkey"), f"SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE {_neg}EXISTS (SELECT 1 FROM {_FEWSQL} r WHERE n_regionkey < r_regionkey)")
-_SMALLER = R.Filter(NULLABLE, Ref(0) < 60)
-_SMALLERSQL = f"(SELECT * FROM {_NULLABLE} WHERE p_partkey < 60)"
-plan_query("join_null_safe", R.Join(_SMALLER, _SMALLER, Ref(1).same(Ref(3)), "inner", (0, 2)), ("a", "b"), f"SELECT x.p_partkey AS a, y.p_partkey AS b FROM {_SMALLERSQL} x JOIN {_SMALLERSQL} y ON x.v IS NOT DISTINCT FROM y.v")
 #: The whole nullable table, its nulls included, with one row for each value.
 _PER_VALUE = R.Aggregate(NULLABLE, (Ref(1),), (("count_all", None),))
-plan_query("join_null_safe_whole", R.Join(NULLABLE, _PER_VALUE, Ref(1).same(Ref(2)), "inner", (0, 1, 3)), ("p_partkey", "v", "n"), f"SELECT x.p_partkey, x.v, y.n FROM {_NULLABLE} x JOIN (SELECT v, count(*) AS n FROM {_NULLABLE} GROUP BY v) y ON x.v IS NOT DISTINCT FROM y.v")
+plan_query("join_null_safe", R.Join(NULLABLE, _PER_VALUE, Ref(1).same(Ref(2)), "inner", (0, 1, 3)), ("p_partkey", "v", "n"), f"SELECT x.p_partkey, x.v, y.n FROM {_NULLABLE} x JOIN (SELECT v, count(*) AS n FROM {_NULLABLE} GROUP BY v) y ON x.v IS NOT DISTINCT FROM y.v")
 plan_query("join_self", R.Join(NATION, NATION, Ref(2).eq(Ref(5)) & (Ref(0) < Ref(3)), "inner", (0, 3)), ("a", "b"), "SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey")
 for _hint in ("broadcast_right", "broadcast_left", "shuffle"):
     plan_query(f"join_{_hint}_hint", R.Join(ORDERS, CUSTOMER, Ref(1).eq(Ref(5)), "inner", (0, 8), hint=_hint), ("o_orderkey", "c_mktsegment"), "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -103,8 +106,11 @@ for _name, _kind, _sql in (("stddev", "stddev", "stddev_samp(p_size)"), ("varian
     plan_query(f"agg_{_name}", project(_agg, Ref(0), Round(Ref(1), 6)), ("p_brand", "v"), f"SELECT p_brand, round({_sql}, 6) AS v FROM part GROUP BY p_brand")
 plan_query("agg_count_col", R.Aggregate(NULLABLE, (), (("count_valid", Ref(1)), ("count_all", None))), ("n", "m"), f"SELECT count(v) AS n, count(*) AS m FROM {_NULLABLE}")
 plan_query("agg_product", R.Aggregate(NATION, (Ref(2),), (("product", Ref(0) + 1),)), ("n_regionkey", "v"), "SELECT n_regionkey, product(n_nationkey + 1)::BIGINT AS v FROM nation GROUP BY n_regionkey")
-sql_query("agg_argmin", "SELECT p_brand, min_by(p_partkey, p_retailprice * 1000000 + p_partkey) AS v FROM {part} GROUP BY p_brand", "SELECT p_brand, arg_min(p_partkey, p_retailprice * 1000000 + p_partkey) AS v FROM part GROUP BY p_brand")
-sql_query("agg_argmax", "SELECT p_brand, max_by(p_partkey, p_retailprice * 1000000 + p_partkey) AS v FROM {part} GROUP BY p_brand", "SELECT p_brand, arg_max(p_partkey, p_retailprice * 1000000 + p_partkey) AS v FROM part GROUP BY p_brand")
+#: Which row of a group has the least or the greatest price; the row id is then looked up in the same rows.
+_ROWS = R.RowId(R.Project(PART, (Ref(0), Ref(2), Ref(5))))
+for _kind, _dir in (("argmin", "ASC"), ("argmax", "DESC")):
+    _place = R.Aggregate(_ROWS, (Ref(1),), ((_kind, Ref(2) * 1000000 + Ref(0)),))
+    plan_query(f"agg_{_kind}", R.Join(_place, _ROWS, Ref(1).eq(Ref(5)), "inner", (0, 2)), ("p_brand", "v"), f"SELECT p_brand, arg_{_kind[3:]}(p_partkey, p_retailprice * 1000000 + p_partkey) AS v FROM part GROUP BY p_brand")
 plan_query("agg_global", R.Aggregate(PART, (), (("sum", Ref(4)), ("min", Ref(4)), ("max", Ref(4)), ("count_all", None))), ("s", "lo", "hi", "n"), "SELECT sum(p_size)::BIGINT AS s, min(p_size) AS lo, max(p_size) AS hi, count(*) AS n FROM part")
 plan_query("agg_global_empty", R.Aggregate(R.Filter(PART, Lit(False)), (), (("sum", Ref(4)), ("count_all", None))), ("s", "n"), "SELECT sum(p_size)::BIGINT AS s, count(*) AS n FROM part WHERE false")
 plan_query("agg_masked", R.Aggregate(PART, (_KEY,), (("sum", Ref(4)), ("count_all", None)), Ref(4) > 25), ("p_brand", "s", "n"), "SELECT p_brand, sum(p_size)::BIGINT AS s, count(*) AS n FROM part WHERE p_size > 25 GROUP BY p_brand")
@@ -117,6 +123,7 @@ sql_query("agg_filter_where", "SELECT p_brand, count(*) FILTER (WHERE p_size > 2
 sql_query("agg_grouping_sets", "SELECT p_brand, p_type, count(*) AS n FROM {part} GROUP BY GROUPING SETS ((p_brand), (p_type), ())")
 sql_query("agg_rollup", "SELECT p_brand, p_type, count(*) AS n FROM {part} GROUP BY ROLLUP (p_brand, p_type)")
 sql_query("agg_cube", "SELECT p_brand, p_type, count(*) AS n FROM {part} GROUP BY CUBE (p_brand, p_type)")
+add("agg_approx_distinct_close", lambda s, d: Tables(s, d)("lineitem").agg((F.abs(F.approx_count_distinct("l_partkey", 0.02) - F.count_distinct("l_partkey")) <= 0.08 * F.count_distinct("l_partkey")).alias("close")), "SELECT true AS close")
 add("agg_approx_distinct", lambda s, d: Tables(s, d)("lineitem").agg(F.approx_count_distinct("l_partkey").alias("n")), None)
 
 # --- windows -------------------------------------------------------------------------------------
@@ -134,6 +141,11 @@ for _f, _sql in (("avg", "avg"), ("stddev", "stddev_samp"), ("variance", "var_sa
     plan_query(f"window_{_f}", project(R.Window(_W, _f, (Ref(0),), _BY, (Ref(1),)), Ref(0), Ref(1), Ref(2), Round(Ref(3), 3)), _WC, f"SELECT o_orderkey, o_custkey, o_totalprice, round({_sql}(o_orderkey) {_OVER}), 3) AS v FROM orders")
 plan_query("window_sum_partition", R.Window(_W, "sum", (Ref(0),), (), (Ref(1),)), _WC, "SELECT o_orderkey, o_custkey, o_totalprice, sum(o_orderkey) OVER (PARTITION BY o_custkey)::BIGINT AS v FROM orders")
 plan_query("window_null_partition", R.Window(NULLABLE, "count_all", (), (), (Ref(1),)), ("p_partkey", "v", "n"), f"SELECT p_partkey, v, count(*) OVER (PARTITION BY v) AS n FROM {_NULLABLE}")
+for _up in (True, False):
+    for _first in (True, False):
+        _name, _sql = f"window_order_{'asc' if _up else 'desc'}_nulls_{'first' if _first else 'last'}", f"{'ASC' if _up else 'DESC'} NULLS {'FIRST' if _first else 'LAST'}"
+        _w = R.Window(project(PART, Ref(0), Ref(2), E.Case(((Ref(4) <= 25, Ref(4)),))), "rank", (), ((Ref(2), _up, _first), (Ref(0), True, True)), (Ref(1),))
+        plan_query(_name, project(_w, Ref(0), Ref(1), Ref(2), Cast(Ref(3), "i64")), ("p_partkey", "p_brand", "v", "r"), f"SELECT p_partkey, p_brand, v, rank() OVER (PARTITION BY p_brand ORDER BY v {_sql}, p_partkey) AS r FROM (SELECT p_partkey, p_brand, CASE WHEN p_size <= 25 THEN p_size END AS v FROM part)")
 plan_query("window_range_bounded", R.Window(_W, "sum", (Ref(0),), _BY, (Ref(1),), -500, 500), _WC, f"SELECT o_orderkey, o_custkey, o_totalprice, sum(o_orderkey) {_OVER} RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING)::BIGINT AS v FROM orders")
 plan_query("window_rows_bounded", R.Window(_W, "sum", (Ref(0),), _BY, (Ref(1),), -1, 1, "rows"), _WC, f"SELECT o_orderkey, o_custkey, o_totalprice, sum(o_orderkey) {_OVER} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)::BIGINT AS v FROM orders")
 plan_query("window_lag", R.Window(_W, "lag", (Ref(2),), _BY, (Ref(1),)), _WC, f"SELECT o_orderkey, o_custkey, o_totalprice, lag(o_totalprice) {_OVER}) AS v FROM orders")
@@ -143,14 +155,10 @@ add("row_id_unique", lambda s, d: Tables(s, d)("orders").withColumn("i", F.monot
 
 # --- order, limit, sets --------------------------------------------------------------------------
 
-for _name, _up, _first, _sql in (("sort_asc_nulls_last", True, False, "ASC NULLS LAST"), ("sort_asc_nulls_first", True, True, "ASC NULLS FIRST"), ("sort_desc_nulls_last", False, False, "DESC NULLS LAST"), ("sort_desc_nulls_first", False, True, "DESC NULLS FIRST")):
-    plan_query(_name, R.Fetch(R.Sort(NULLABLE, ((Ref(1), _up, _first), (Ref(0), True, True))), 0, 1200), ("p_partkey", "v"), f"SELECT p_partkey, v FROM {_NULLABLE} ORDER BY v {_sql}, p_partkey LIMIT 1200")
-
-
 def ranked(spark, sf_dir, plan, names: tuple):
     """A sorted plan's whole output with ``rank``, each row's place in it from 1; no task holds all rows."""
     at = F.monotonically_increasing_id()
-    rows = cut(run(spark, sf_dir, plan, names).withColumn("_at", at), "sorted")  # the order's bounds are sampled once
+    rows = written(run(spark, sf_dir, plan, names).withColumn("_at", at), "sorted")  # the order's bounds are sampled once
     part = F.shiftright("_at", 33)
     sizes = sorted((r["part"], r["n"]) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
     before = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
@@ -161,7 +169,7 @@ def ranked(spark, sf_dir, plan, names: tuple):
 
 for _name, _up, _first, _sql in (("sort_asc_nulls_last", True, False, "ASC NULLS LAST"), ("sort_asc_nulls_first", True, True, "ASC NULLS FIRST"), ("sort_desc_nulls_last", False, False, "DESC NULLS LAST"), ("sort_desc_nulls_first", False, True, "DESC NULLS FIRST")):
     _sorted = R.Sort(NULLABLE, ((Ref(1), _up, _first), (Ref(0), True, True)))
-    add(f"{_name}_whole", lambda s, d, p=_sorted: ranked(s, d, p, ("p_partkey", "v")), f"SELECT p_partkey, v, row_number() OVER (ORDER BY v {_sql}, p_partkey) AS rank FROM {_NULLABLE}")
+    add(_name, lambda s, d, p=_sorted: ranked(s, d, p, ("p_partkey", "v")), f"SELECT p_partkey, v, row_number() OVER (ORDER BY v {_sql}, p_partkey) AS rank FROM {_NULLABLE}")
 plan_query("limit_offset", R.Fetch(R.Sort(_W, ((Ref(0), True, True),)), 5, 10), _WC[:3], "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 5")
 plan_query("offset_only", R.Fetch(R.Sort(NATION, ((Ref(0), True, True),)), 20), _NR[:3], "SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_nationkey OFFSET 20")
 plan_query("offset_past_end", R.Fetch(NATION, 1000, 5), _NR[:3], "SELECT n_nationkey, n_name, n_regionkey FROM nation LIMIT 5 OFFSET 1000")
@@ -240,7 +248,133 @@ def zone_pruning(spark, sf_dir):
 add("copy_roundtrip", copy_roundtrip, "SELECT n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey::BIGINT FROM nation")
 add("ddl_external_table", ddl_external_table, "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
 add("view_in_script", view_in_script, "SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 5000.0 GROUP BY s_nationkey")
-add("show_all_options", show_all_options, None)
+add("show_all_options", show_all_options, "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{option_text(v)}')" for n, v in DEFAULTS.items()) + ") AS t(name, value)")
 add("udr_map_in_arrow", udr_map_in_arrow, "SELECT p_partkey, p_size FROM part WHERE p_size > 45")
 add("udr_fold", udr_fold, "SELECT count(*) AS n, sum(p_size)::BIGINT AS s, sum(p_size::BIGINT * p_size)::BIGINT AS q FROM part")
 add("zone_pruning", zone_pruning, "SELECT o_orderkey // 1000 AS zone, count(*) AS rows, min(o_orderkey) AS o_orderkey_min, max(o_orderkey) AS o_orderkey_max FROM orders GROUP BY zone HAVING max(o_orderkey) >= 4500 AND min(o_orderkey) < 9500")
+
+
+def zone_pruned_scan(spark, sf_dir):
+    path = fresh_path(spark, "zoned")
+    P.write_zoned(Tables(spark, sf_dir)("orders").select("o_orderkey", "o_custkey", "o_totalprice"), path, "o_orderkey", 16)
+    return P.read_zoned(spark, path, (Ref(0) >= 4500) & (Ref(0) < 9500) & (Ref(2) > 100000.0))
+
+
+def partition_file_filter(spark, sf_dir):
+    path = fresh_path(spark, "by_region")
+    Tables(spark, sf_dir)("nation").select("n_nationkey", "n_name", F.col("n_regionkey").cast("bigint").alias("n_regionkey")).write.partitionBy("n_regionkey").parquet(path)
+    wanted = Tables(spark, sf_dir)("region").where("r_name LIKE 'A%'").select("r_regionkey")
+    return P.read_partitions(spark, path, T.StructType.fromDDL("n_nationkey INT, n_name STRING, n_regionkey BIGINT"), "n_regionkey", wanted)
+
+
+def write_task(spark, sf_dir):
+    path = fresh_path(spark, "files")
+    P.write_files(Tables(spark, sf_dir)("supplier").select("s_suppkey", "s_nationkey"), path, 3, codec="zstd")
+    return spark.read.parquet(path)
+
+
+def snapshot(spark, sf_dir):
+    engine, path = _engine(spark, sf_dir, "customer"), fresh_path(spark, "snapshot")
+    engine.catalog.save("customer", path)
+    other = Engine(spark)
+    other.catalog.load("customer_again", path, unique_keys=[("c_custkey",)])
+    return other.sql("SELECT c_custkey, c_mktsegment FROM customer_again")
+
+
+def storage_kinds(spark, sf_dir):
+    """A table of each memory kind, filled in two goes, and one of files."""
+    engine, out = Engine(spark), None
+    kinds = {"system_memory": "", "device_memory": ", device_id = 0", "numa_memory": ", numa_node_set = ARRAY[0], page_kind = 'small'"}
+    for i, (kind, more) in enumerate(kinds.items()):
+        engine.run_script(f"DROP TABLE IF EXISTS kept_{i}; CREATE TABLE kept_{i} (r_regionkey BIGINT, r_name VARCHAR) WITH (storage_kind = '{kind}'{more}); COPY kept_{i} FROM '{sf_dir}/region.parquet'; COPY kept_{i} FROM '{sf_dir}/region.parquet'")
+        part = engine.sql(f"SELECT '{kind}' AS kind, r_regionkey, r_name FROM kept_{i}")
+        out = part if out is None else out.unionByName(part)
+    engine.run_script(f"CREATE EXTERNAL TABLE kept_files (r_regionkey BIGINT, r_name VARCHAR) STORED AS PARQUET LOCATION '{fresh_path(spark, 'table')}'; COPY kept_files FROM '{sf_dir}/region.parquet'")
+    return out.unionByName(engine.sql("SELECT 'parquet_file' AS kind, r_regionkey, r_name FROM kept_files"))
+
+
+def list_tables(spark, sf_dir):
+    """SHOW TABLES after a DROP; row counts are those that COPY wrote."""
+    engine = Engine(spark)
+    engine.run_script(f"CREATE TABLE listed (n_nationkey INTEGER PRIMARY KEY, n_name VARCHAR); CREATE TABLE gone (x INTEGER); DROP TABLE gone; DROP TABLE IF EXISTS gone; COPY listed FROM '{sf_dir}/nation.parquet'")
+    return engine.sql("SHOW TABLES").select("table_name", "storage_kind", "row_count", "unique_keys")
+
+
+def result_sink(spark, sf_dir):
+    engine, path = _engine(spark, sf_dir, "supplier"), fresh_path(spark, "result")
+    engine.write_result(engine.sql("SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey"), path)
+    return spark.read.parquet(path)
+
+
+def write_relation(spark, sf_dir):
+    engine = _engine(spark, sf_dir, "supplier")
+    engine.run_script("DROP TABLE IF EXISTS rich_suppliers; CREATE TABLE rich_suppliers (s_suppkey INTEGER, s_nationkey INTEGER, s_acctbal DOUBLE)")
+    return engine.run_plan(R.Write(R.Filter(SUPPLIER, Ref(2) > 5000.0), "rich_suppliers"))
+
+
+def plan_file(spark, sf_dir):
+    """A plan kept as JSON in a file, and run from it."""
+    import json
+
+    path = fresh_path(spark, "plan")
+    plan = R.Aggregate(R.Filter(PART, Ref(4) > 25), (Ref(2),), (("count_all", None), ("avg", Ref(4))))
+    spark.createDataFrame([(json.dumps(R.to_dict(plan)),)], "value string").coalesce(1).write.text(path)
+    return _engine(spark, sf_dir, "part").run_plan_file(path).toDF("p_brand", "n", "a")
+
+
+def job(spark, sf_dir):
+    path = fresh_path(spark, "job")
+    Engine(spark).run_job({"sql": "SELECT n_name, r_name FROM job_nation JOIN job_region ON n_regionkey = r_regionkey", "tables": {"job_nation": {"file": f"{sf_dir}/nation.parquet"}, "job_region": {"file": f"{sf_dir}/region.parquet"}}, "output": path})
+    return spark.read.parquet(path)
+
+
+def scalar_udf(spark, sf_dir):
+    engine = _engine(spark, sf_dir, "part")
+    engine.register_function("lode_scaled", lambda size, price: size * price, "double")
+    return engine.sql("SELECT p_partkey, lode_scaled(p_size, p_retailprice) AS x FROM part")
+
+
+def udr_iterate(spark, sf_dir):
+    """Each nation unfolds to as many rows as its key says, at most four in a batch."""
+
+    def start(batch):
+        return [(k, 0) for k in batch.column(0).to_pylist()]
+
+    def advance(state):
+        state = [(k, i) for k, i in state if i < k]
+        if not state:
+            return None
+        (k, i), rest = state[0], state[1:]
+        n = min(k, i + 4)
+        return pa.RecordBatch.from_arrays([pa.array([k] * (n - i), pa.int32()), pa.array(range(i, n), pa.int32())], names=["n_nationkey", "i"]), [(k, n), *rest]
+
+    return udr.iterate(start, advance, "n_nationkey int, i int")(Tables(spark, sf_dir)("nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey")))
+
+
+def udr_stateful(spark, sf_dir):
+    """Each customer's running number of orders; the state is the last customer and its count."""
+
+    def advance(state, batch):
+        out = []
+        for c in batch.column(0).to_pylist():
+            state = (c, state[1] + 1 if c == state[0] else 1)
+            out.append(state[1])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["o_custkey", "o_orderkey", "n"]), state
+
+    rows = Tables(spark, sf_dir)("orders").select(F.col("o_custkey").cast("bigint").alias("o_custkey"), F.col("o_orderkey").cast("bigint").alias("o_orderkey"))
+    return udr.stateful_transform(lambda: (None, 0), advance, "o_custkey bigint, o_orderkey bigint, n bigint")(rows.repartition("o_custkey").sortWithinPartitions("o_custkey", "o_orderkey"))
+
+
+add("zone_pruned_scan", zone_pruned_scan, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey >= 4500 AND o_orderkey < 9500 AND o_totalprice > 100000.0")
+add("partition_file_filter", partition_file_filter, "SELECT n_nationkey::INTEGER AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
+add("write_task", write_task, "SELECT s_suppkey, s_nationkey FROM supplier")
+add("snapshot", snapshot, "SELECT c_custkey, c_mktsegment FROM customer")
+add("storage_kinds", storage_kinds, "SELECT kind, r_regionkey::BIGINT AS r_regionkey, r_name FROM region, (VALUES ('system_memory'), ('system_memory'), ('device_memory'), ('device_memory'), ('numa_memory'), ('numa_memory'), ('parquet_file')) AS k(kind)")
+add("list_tables", list_tables, "SELECT 'listed' AS table_name, 'boost_shared_memory' AS storage_kind, count(*) AS row_count, '[[\"n_nationkey\"]]' AS unique_keys FROM nation")
+add("result_sink", result_sink, "SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey")
+add("write_relation", write_relation, "SELECT count(*) AS rows_affected FROM supplier WHERE s_acctbal > 5000.0")
+add("plan_file", plan_file, "SELECT p_brand, count(*) AS n, avg(p_size) AS a FROM part WHERE p_size > 25 GROUP BY p_brand")
+add("job", job, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+add("scalar_udf", scalar_udf, "SELECT p_partkey, p_size * p_retailprice AS x FROM part")
+add("udr_iterate", udr_iterate, "SELECT n_nationkey::INTEGER AS n_nationkey, unnest(range(n_nationkey))::INTEGER AS i FROM nation")
+add("udr_stateful", udr_stateful, "SELECT o_custkey::BIGINT AS o_custkey, o_orderkey::BIGINT AS o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders")

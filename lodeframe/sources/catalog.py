@@ -6,7 +6,8 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Storage kind -> options it takes, and the storage level that stands for it.
@@ -59,6 +60,7 @@ class TableInfo:
     rows: int = 0
     frame: DataFrame | None = None
     backed: bool = False
+    parts: list[DataFrame] = field(default_factory=list)
 
     @property
     def columns(self) -> list[str]:
@@ -114,8 +116,8 @@ class Catalog:
                 return
             raise KeyError(f"no table {name!r}")
         info = self._tables.pop(name.lower())
-        if info.frame is not None and not info.backed:
-            info.frame.unpersist()
+        for part in info.parts:
+            part.unpersist()
         self.spark.catalog.dropTempView(info.name)
 
     def _refresh(self, info: TableInfo, empty: bool = False) -> None:
@@ -135,17 +137,18 @@ class Catalog:
             raise ValueError(f"table {name!r} has {len(info.columns)} columns, not {len(df.columns)}")
         new = df.select(*[df[f"`{c}`"].cast(f.dataType).alias(f.name) for c, f in zip(df.columns, info.schema, strict=True)])
         if info.storage == "parquet_file":
-            before = info.frame.count() if _exists(self.spark, info.location) else 0
-            writer = new.write.mode("append")
+            seen = Observation()
+            writer = new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append")
             (writer.partitionBy(*info.partition_by) if info.partition_by else writer).parquet(info.location)
+            n = seen.get["n"]
             self._refresh(info)
-            n = info.frame.count() - before
         else:
-            old = info.frame
-            fresh = new if not info.rows and not info.backed else old.unionByName(new)
-            info.frame = fresh.persist(STORAGE[info.storage][1])
+            # each append keeps its own rows; what was kept before is not kept again
+            part = new.persist(STORAGE[info.storage][1])
+            n = part.count()
+            info.frame = part if not info.parts and not info.backed else info.frame.unionByName(part)
+            info.parts.append(part)
             info.backed = False
-            n = info.frame.count() - info.rows
             info.frame.createOrReplaceTempView(info.name)
         info.rows += n
         return n

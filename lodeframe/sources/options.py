@@ -101,8 +101,8 @@ class Options:
     def show(self, name: str) -> list[tuple[str, str]]:
         """(name, value) of one option or of ``all``, by name; an unknown name has no row."""
         names = sorted(self.values) if name.lower() == "all" else [n for n in self.values if n == name]
-        return [(n, _text(self.values[n])) for n in names]
+        return [(n, option_text(self.values[n])) for n in names]
 
 
-def _text(v) -> str:
+def option_text(v) -> str:
     return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v)

@@ -19,13 +19,15 @@ def read_partitions(spark: SparkSession, path: str, schema: T.StructType, column
     key = haystack.schema[0]
     if not isinstance(key.dataType, INTEGRAL):
         raise TypeError("the values to look for must be integers")
-    values = haystack.select(F.col(f"`{key.name}`").cast("bigint").alias("_key")).where("_key IS NOT NULL").distinct()
+    values = haystack.select(F.col(f"`{key.name}`").cast("bigint").alias("_lodeframe_key")).where("_lodeframe_key IS NOT NULL").distinct()
     df = spark.read.schema(schema).parquet(path)
-    return df.join(values, df[column].cast("bigint") == F.col("_key"), "left_semi").select(*schema.fieldNames())
+    return df.join(values, df[column].cast("bigint") == F.col("_lodeframe_key"), "left_semi").select(*schema.fieldNames())
 
 
-def write_files(df: DataFrame, path: str, files: int | None = None, mode: str = "append") -> None:
-    (df.repartition(files) if files else df).write.mode(mode).parquet(path)
+def write_files(df: DataFrame, path: str, files: int | None = None, mode: str = "append", codec: str | None = None) -> None:
+    """Parquet in ``files`` files (None: as many as the input has partitions), compressed by ``codec`` (Spark's names)."""
+    writer = (df.repartition(files) if files else df).write.mode(mode)
+    (writer.option("compression", codec) if codec else writer).parquet(path)
 
 
 _FLIP = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "=": "="}
@@ -59,9 +61,10 @@ def zone_condition(e: E.Expr, negated: bool = False) -> E.Expr | None:
     return None
 
 
-def zone_map(df: DataFrame, zone: Column) -> DataFrame:
-    """``zone, rows`` and the minimum, maximum and null count of each column, for each value of ``zone``."""
-    stats = [s for c in df.columns for s in (F.min(f"`{c}`").alias(f"{c}_min"), F.max(f"`{c}`").alias(f"{c}_max"), F.sum(F.col(f"`{c}`").isNull().cast("bigint")).alias(f"{c}_nulls"))]
+def zone_map(df: DataFrame, zone: Column, columns: list[str] | None = None) -> DataFrame:
+    """``zone, rows`` and the minimum, maximum and null count of each column (of ``columns``, if given), for each
+    value of ``zone``."""
+    stats = [s for c in columns or df.columns for s in (F.min(f"`{c}`").alias(f"{c}_min"), F.max(f"`{c}`").alias(f"{c}_max"), F.sum(F.col(f"`{c}`").isNull().cast("bigint")).alias(f"{c}_nulls"))]
     return df.groupBy(zone.alias("zone")).agg(F.count("*").alias("rows"), *stats)
 
 
@@ -76,3 +79,30 @@ def pruned_zones(zones: DataFrame, columns: list[str], condition: E.Expr) -> Dat
             cols.append(F.col(f"`{name}_{part}`"))
             types.append(zones.schema[f"{name}_{part}"].dataType)
     return zones.where(E.compile(c, cols, types)[0])
+
+
+#: Zones of one table, at most: their statistics are looked through by the driver.
+MOST_ZONES = 100_000
+_ZONE = "_lodeframe_zone"
+
+
+def write_zoned(df: DataFrame, path: str, by: str, zones: int) -> None:
+    """``df`` as Parquet in about ``zones`` directories of about equal size, each a range of ``by``, and beside them the
+    statistics of every column in every zone, for ``read_zoned``. Null values of ``by`` are in the first zone."""
+    if not 0 < zones <= MOST_ZONES:
+        raise ValueError(f"a table has from 1 to {MOST_ZONES} zones")
+    ranged = df.repartitionByRange(zones, F.col(f"`{by}`")).withColumn(_ZONE, F.spark_partition_id())
+    ranged.write.partitionBy(_ZONE).parquet(f"{path}/rows")
+    back = df.sparkSession.read.parquet(f"{path}/rows")
+    zone_map(back, F.col(_ZONE), df.columns).coalesce(1).write.parquet(f"{path}/zones")
+
+
+def read_zoned(spark: SparkSession, path: str, condition: E.Expr | None = None) -> DataFrame:
+    """The rows of a zoned table that ``condition`` (over its columns) lets through. Only directories of zones
+    whose statistics allow a row are listed and read; the condition itself then decides, and is pushed to the files."""
+    rows, zones = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/zones")
+    names = [c for c in rows.columns if c != _ZONE]
+    if condition is not None:
+        left = [r["zone"] for r in pruned_zones(zones, names, condition).select("zone").collect()]  # at most MOST_ZONES
+        rows = rows.where(F.col(_ZONE).isin(left)).where(E.compile(condition, [F.col(f"`{c}`") for c in names], [rows.schema[c].dataType for c in names])[0])
+    return rows.select(*[F.col(f"`{c}`") for c in names])
