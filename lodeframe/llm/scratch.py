@@ -2,42 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode with none set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodeframe-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodeframe-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._lodeframe_path = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``cut`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_lodeframe_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)
+from lodeframe.sources.shared import discard, shared_dir  # noqa: F401
+from lodeframe.sources.shared import written as cut  # noqa: F401
 
 
 def input_bytes(df: DataFrame) -> int:
