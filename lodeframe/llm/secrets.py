@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.scratch import cut
+from lodeframe.llm.scratch import cut, unused
 
 #: Kind, pattern, group whose length counts, least length. Their order is the order of kinds.
 BASE = (
@@ -18,22 +18,32 @@ BASE = (
 #: Candidates of the battery: whole runs of the base64 alphabets. Fixed values.
 LEAST_RANDOM = 20
 TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_RANDOM},}}={{0,2}}"
-#: Encoding: what its tokens match, its alphabet, and how often two characters of ordinary text in it agree.
+#: A text without any of this holds no span of any kind: one pass leaves most texts. Fixed values, as in BASE.
+MAY = rf"""[A-Za-z0-9+/_-]{{{LEAST_RANDOM}}}|(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
+#: Encoding: what its tokens match, its alphabet, how often two characters of ordinary text in it agree, and how often
+#: two neighbours in mixed ordinary text are of classes that words and names seldom join (ODD); None: not looked at.
 ENCODINGS = (
-    ("hex", "^[0-9a-f]+$", "0123456789abcdef", 0.20),
-    ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF", 0.20),
-    ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066),
-    ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 0.066),
+    ("hex", "^[0-9a-f]+$", "0123456789abcdef", 0.20, None),
+    ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF", 0.20, None),
+    ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066, None),
+    ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.066, 0.12),
 )
+_CLASSES = "U" * 26 + "l" * 26 + "d" * 10 + "ss"
+#: Two capitals, a capital and a digit, a digit and a letter: 0.35 of the pairs in random base64.
+ODD = "(?=UU|Ud|dU|dl)"
 #: Each test of the battery may reject a truly random token this often.
 ALPHA = 1e-3
-#: What p_text may be at most for a token that is found among the tokens of its encoding's make alone.
+#: Families of the discovery control: tokens of the make of their encoding, by encoding and by these least lengths.
+LENGTHS = (20, 24, 28, 32, 40, 64)
+#: What the p-value may be at most for a token that is found in its family alone.
 MOST_TEXT = 0.003
 #: Share of false finds among the added spans that is aimed at.
 FDR = 0.01
 MASK = "<SECRET>"
 _BINS, _BIN = 2000, 100
 _PREFIX = 256
+#: Characters of a text or a token that are looked at together.
+_PIECE = 4096
 
 
 def running(lens: Column) -> Column:
@@ -81,20 +91,48 @@ def _below(z: Column) -> Column:
     return F.when(z > 0, 1 - tail).otherwise(tail)
 
 
+def pieces(text: Column) -> Column:
+    """A text in pieces of _PIECE characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def _sums(piece: Column) -> Column:
+    """What the battery needs of a piece of a token: sums over its codes, over codes that follow each other, and
+    over whether they lie in the upper half of the alphabet."""
+    x = F.transform(F.split(piece, ""), lambda c: F.call_function("instr", F.col("_abc"), c).cast("double") - 1)
+
+    def of(x):
+        up = F.transform(x, lambda v: v * 2 >= F.col("_k"))
+        pairs = F.zip_with(F.slice(x, 2, F.lit(_PIECE)), F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: a * b)
+        turns = F.zip_with(F.slice(up, 2, F.lit(_PIECE)), F.slice(up, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: F.when(a != b, 1.0).otherwise(0.0))
+        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
+        return F.struct(
+            F.size(x).cast("double").alias("n"), total(x).alias("s1"), total(F.transform(x, lambda v: v * v)).alias("s2"), total(pairs).alias("lag"), F.get(x, F.lit(0)).alias("first"), F.get(x, F.size(x) - 1).alias("last"),
+            F.size(F.filter(up, lambda u: u)).cast("double").alias("high"), total(turns).alias("turns"),
+        )
+
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
 def battery(tokens: DataFrame) -> DataFrame:
     """Adds to ``tokens(token)``: ``encoding``, ``p_uniform``, ``p_runs``, ``p_serial`` (that a random token of
     this encoding looks no more regular), and ``p_text`` (that ordinary text of this length would agree
     with itself as seldom); ``p_text`` is 1 if any test of the battery rejects randomness. ``mixed`` tells
     whether upper and lower case, digits and signs stand in the token as in random text of its encoding; words
-    of one case never do, whatever letters they are made of."""
-    t, enc, size, alphabet, ic = F.col("token"), F.lit(ENCODINGS[-1][0]), F.lit(64.0), F.lit(ENCODINGS[-1][2]), F.lit(ENCODINGS[-1][3])
-    for name, like, signs, agree in reversed(ENCODINGS[:-1]):
+    of one case never do, whatever letters they are made of. ``p_mixed``: for such tokens, ``p_text`` combined by
+    Fisher's rule with the chance that mixed ordinary text holds as many odd pairs, where the encoding says how often it does.
+
+    A token is taken in pieces, so that a very long one is never held as an array of numbers."""
+    t, enc, size, alphabet, ic, change = F.col("token"), F.lit(ENCODINGS[-1][0]), F.lit(64.0), F.lit(ENCODINGS[-1][2]), F.lit(ENCODINGS[-1][3]), F.lit(ENCODINGS[-1][4])
+    for name, like, signs, agree, turn in reversed(ENCODINGS[:-1]):
         hit = t.rlike(like)
         enc, size, alphabet, ic = F.when(hit, name).otherwise(enc), F.when(hit, float(len(signs))).otherwise(size), F.when(hit, signs).otherwise(alphabet), F.when(hit, agree).otherwise(ic)
-    body = F.regexp_replace("token", "=+$", "")
-    length = F.length(body).cast("double")
+        change = F.when(hit, F.lit(turn).cast("double")).otherwise(change)
+    # base64url's - and _ are + and / again
+    df = tokens.withColumn("encoding", enc).withColumn("_k", size).withColumn("_abc", alphabet).withColumn("_ic", ic).withColumn("_change", change).withColumn("_body", F.translate(F.regexp_replace("token", "=+$", ""), "-_", "+/"))
+    body, length = F.col("_body"), F.length("_body").cast("double")
     # signs of each class, as the encoding's alphabet has them; chi-squared at 0.001 with 1 and 3 degrees of freedom
-    counts = [F.length(F.regexp_replace(body, f"[^{c}]", "")).cast("double") for c in ("A-Z", "a-z", "0-9", "+/_-")]
+    counts = [F.length(F.regexp_replace(body, f"[^{c}]", "")).cast("double") for c in ("A-Z", "a-z", "0-9", "+/")]
 
     def like(shares, bar):
         terms = [F.pow(c - length * share, F.lit(2.0)) / (length * share) for c, share in zip(counts, shares, strict=True) if share]
@@ -109,36 +147,42 @@ def battery(tokens: DataFrame) -> DataFrame:
 
     mixed = F.when(F.col("encoding") == "hex", like((0, 6 / 16, 10 / 16, 0), 10.83)).when(F.col("encoding") == "HEX", like((6 / 16, 0, 10 / 16, 0), 10.83))
     mixed = mixed.when(F.col("encoding") == "base32", like((26 / 32, 0, 6 / 32, 0), 10.83)).otherwise(like((26 / 64, 26 / 64, 10 / 64, 2 / 64), 16.27))
-    df = tokens.withColumn("encoding", enc).withColumn("mixed", mixed).withColumn("_k", size).withColumn("_abc", alphabet).withColumn("_ic", ic)
-    # base64url's - and _ are + and / again
-    at = F.transform(F.split(F.regexp_replace("token", "=+$", ""), ""), lambda c: F.call_function("instr", F.col("_abc"), c) - 1)
-    df = df.withColumn("_x", F.transform(at, lambda i: F.when(i >= 64, i - 2).otherwise(i).cast("double")))
-    df = df.withColumn("_n", F.size("_x").cast("double"))
-    same = F.aggregate(F.array_distinct("_x"), F.lit(0.0), lambda acc, v: acc + F.pow(F.size(F.filter("_x", lambda y: y == v)).cast("double"), F.lit(2.0)))
-    df = df.withColumn("_sq", same)
-    df = df.withColumn("_chi", F.col("_k") / F.col("_n") * F.col("_sq") - F.col("_n"))
-    high = F.transform("_x", lambda v: v * 2 >= F.col("_k"))
-    df = df.withColumn("_up", high).withColumn("_n1", F.size(F.filter("_up", lambda u: u)).cast("double")).withColumn("_n0", F.col("_n") - F.col("_n1"))
-    changes = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.size("_up") - 1), lambda i: F.get("_up", i) != F.get("_up", i - 1)), lambda u: u))
-    df = df.withColumn("_runs", 1.0 + changes)
-    df = df.withColumn("_mean", F.aggregate("_x", F.lit(0.0), lambda a, v: a + v) / F.col("_n"))
-    lag = F.aggregate(F.sequence(F.lit(1), F.size("_x") - 1), F.lit(0.0), lambda a, i: a + (F.get("_x", i) - F.col("_mean")) * (F.get("_x", i - 1) - F.col("_mean")))
-    df = df.withColumn("_var", F.aggregate("_x", F.lit(0.0), lambda a, v: a + (v - F.col("_mean")) * (v - F.col("_mean")))).withColumn("_lag", lag)
-    n, n1, n0, k = F.col("_n"), F.col("_n1"), F.col("_n0"), F.col("_k")
+    df = df.withColumn("mixed", mixed)
+    # how often each sign of the alphabet stands in the token
+    often = F.transform(F.filter(F.split("_abc", ""), lambda c: c != ""), lambda c: (F.length("_body") - F.length(F.replace(F.col("_body"), c, F.lit("")))).cast("double"))
+    df = df.withColumn("_sq", F.aggregate(often, F.lit(0.0), lambda acc, v: acc + v * v)).withColumn("_s", F.transform(pieces(body), _sums))
+    total = lambda f: F.aggregate("_s", F.lit(0.0), lambda acc, v: acc + v[f])
+    seam = F.transform(F.sequence(F.lit(1), F.size("_s") - 1), lambda i: F.struct(F.get("_s", i)["first"].alias("a"), F.get("_s", i - 1)["last"].alias("b")))
+    df = df.withColumn("_seam", F.when(F.size("_s") > 1, seam).otherwise(F.array().cast("array<struct<a:double,b:double>>")))
+    k = F.col("_k")
+    over = lambda f: F.aggregate("_seam", F.lit(0.0), lambda acc, v: acc + f(v))
+    df = df.withColumn("_n", total("n")).withColumn("_n1", total("high")).withColumn("_n0", F.col("_n") - F.col("_n1"))
+    df = df.withColumn("_runs", 1.0 + total("turns") + over(lambda v: F.when((v["a"] * 2 >= k) != (v["b"] * 2 >= k), 1.0).otherwise(0.0)))
+    df = df.withColumn("_mean", total("s1") / F.col("_n")).withColumn("_chi", k / F.col("_n") * F.col("_sq") - F.col("_n"))
+    mean, ends = F.col("_mean"), F.get("_s", F.lit(0))["first"] + F.element_at("_s", -1)["last"]
+    df = df.withColumn("_var", total("s2") - F.col("_n") * mean * mean)
+    df = df.withColumn("_lag", total("lag") + over(lambda v: v["a"] * v["b"]) - mean * (2 * total("s1") - ends) + (F.col("_n") - 1) * mean * mean)
+    n, n1, n0 = F.col("_n"), F.col("_n1"), F.col("_n0")
     # Wilson and Hilferty's normal form of chi-squared
     d = 2 / (9 * (k - 1))
     z_chi = (F.pow(F.greatest(F.col("_chi"), F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - d)) / F.sqrt(d)
     mu = 1 + 2 * n1 * n0 / n
     var = F.greatest((mu - 1) * (mu - 2) / (n - 1), F.lit(0.25))
     z_runs = F.when((n1 > 0) & (n0 > 0), (F.col("_runs") - mu) / F.sqrt(var)).otherwise(9.0)
-    z_serial = F.when(F.col("_var") > 0, (F.col("_lag") / F.col("_var") + 1 / n) * F.sqrt(n)).otherwise(9.0)
+    z_serial = F.when(F.col("_var") > 1e-9, (F.col("_lag") / F.col("_var") + 1 / n) * F.sqrt(n)).otherwise(9.0)
     df = df.withColumn("p_uniform", 1 - _below(z_chi)).withColumn("p_runs", 2 * _below(-F.abs(z_runs))).withColumn("p_serial", 2 * _below(-F.abs(z_serial)))
     # pairs of places that agree: under ordinary text about ic of them, spread half as wide again
-    pairs, agree = n * (n - 1) / 2, (F.col("_sq") - n) / 2
-    z_text = (agree + 0.5 - pairs * F.col("_ic")) / (1.5 * F.sqrt(pairs * F.col("_ic") * (1 - F.col("_ic"))))
+    agreeing = (F.col("_sq") - n) / 2
+    pairs = n * (n - 1) / 2
+    z_text = (agreeing + 0.5 - pairs * F.col("_ic")) / (1.5 * F.sqrt(pairs * F.col("_ic") * (1 - F.col("_ic"))))
     fails = (F.col("p_uniform") < ALPHA) | (F.col("p_runs") < ALPHA) | (F.col("p_serial") < ALPHA)
-    df = df.withColumn("p_text", F.when(fails, 1.0).otherwise(F.greatest(_below(z_text), F.lit(1e-300))))
-    return df.drop("_k", "_abc", "_ic", "_x", "_n", "_sq", "_chi", "_up", "_n1", "_n0", "_runs", "_mean", "_var", "_lag")
+    least = F.lit(1e-300)
+    df = df.withColumn("p_text", F.when(fails, 1.0).otherwise(F.greatest(_below(z_text), least)))
+    odd = F.regexp_count(F.translate(body, ENCODINGS[-1][2], _CLASSES), F.lit(ODD))
+    z_odd = (odd - 0.5 - (n - 1) * F.col("_change")) / F.sqrt((n - 1) * F.col("_change") * (1 - F.col("_change")))
+    both = F.greatest(F.col("p_text") * _below(-z_odd), least)
+    df = df.withColumn("p_mixed", F.when(F.col("_change").isNull() | (F.col("p_text") >= 1), F.col("p_text")).otherwise(F.least(both * (1 - F.log(both)), F.lit(1.0))))
+    return df.drop("_k", "_abc", "_ic", "_change", "_body", "_sq", "_s", "_seam", "_n", "_n1", "_n0", "_runs", "_mean", "_chi", "_var", "_lag")
 
 
 def _bin(p: Column) -> Column:
@@ -156,45 +200,60 @@ def discovery_bin(histogram: list[tuple[int, int]], rate: float) -> int:
     return least
 
 
+def _clear(finds: DataFrame) -> DataFrame:
+    """The tokens that no base span of their row touches, one a row; a row's spans are sorted, not compared with each other."""
+    slot = "array<struct<start:int,end:int,token:string,base:boolean>>"
+    tokens = F.transform("tokens", lambda t: F.struct(t["start"], t["end"], t["token"], F.lit(False)))
+    base = F.transform("base", lambda b: F.struct(b["start"], b["end"], F.lit(""), F.lit(True)))
+    spans = finds.where(F.size("tokens") > 0).select("row", F.explode(F.concat(tokens.cast(slot), base.cast(slot))).alias("s")).select("row", "s.*")
+    before = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+    spans = spans.withColumn("_end", F.max(F.when(F.col("base"), F.col("end"))).over(before)).withColumn("_next", F.min(F.when(F.col("base"), F.col("start"))).over(after))
+    free = (F.col("_end").isNull() | (F.col("_end") <= F.col("start"))) & (F.col("_next").isNull() | (F.col("_next") >= F.col("end")))
+    return spans.where(~F.col("base") & free).select("row", "start", F.lit(len(BASE)).alias("rank"), "end", "token")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = FDR) -> DataFrame:
     """One row per input row: ``doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans, random_spans``.
 
     A null text is an empty one; without finds the counts are 0, ``spans`` is '' and the digest that of
     ''. Base spans are the whole matches. The battery adds whole tokens of 20 characters or more that
     no base span touches: those that pass for random in their inferred encoding, where ordinary text of
-    that length would agree with itself as seldom only so often that about ``rate`` of the added spans
-    are false. Two families of tests are tried, and either may add a span: all tokens of the table; and
-    the tokens whose classes of signs are those of their encoding, where at most MOST_TEXT passes, so
-    that the second doesn't depend on how many ordinary long words the table holds. The shares of
-    false spans of the two add up to 2 ``rate`` at most. Repeated rows are each scanned; an empty table
+    that length would look so only so often that about ``rate`` of the added spans
+    are false. The families of tests are all tokens of the table; and, for each encoding and length, the
+    tokens whose classes of signs are those of their encoding, where at most MOST_TEXT passes, so
+    that these don't depend on how many ordinary long words the table holds. Any family may add a span. Repeated rows are each scanned; an empty table
     gives an empty result; other columns are not read.
 
     The texts are scanned once; a table of finds, without texts, then gives the histogram of p-values
-    (a fixed number of bins) and the result.
+    (a fixed number of bins for each family) and the result.
     """
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    text = F.col("text")
+    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("_may", F.col("text").rlike(MAY))
+    text, may = F.col("text"), F.col("_may")
     for rank, (kind, pattern, group, least) in enumerate(BASE):
         guard = text.contains("AKIA") if kind == "access" else text.rlike(pattern)
-        df = with_matches(df, kind, pattern, group, rank, guard)
+        df = with_matches(df, kind, pattern, group, rank, may & guard)
         df = df.withColumn(kind, F.filter(kind, lambda s: s["length"] >= least))
-    df = with_matches(df, "tokens", TOKEN, 0, len(BASE), text.rlike(TOKEN))
+    df = with_matches(df, "tokens", TOKEN, 0, len(BASE), may & text.rlike(TOKEN))
     df = df.withColumn("base", F.concat(*[F.col(k) for k, *_ in BASE]))
-    clear = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     slim = "array<struct<start:int,rank:int,end:int>>"
-    finds = df.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k, *_ in BASE], F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))).cast(slim).alias("base"), clear.alias("tokens"), F.expr("uuid()").alias("row"))
+    finds = df.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k, *_ in BASE], F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))).cast(slim).alias("base"), "tokens", F.expr("uuid()").alias("row"))
     finds = cut(finds, "finds")
-    tried = battery(finds.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("s")).select("row", "s.start", "s.rank", "s.end", "s.token"))
-    tried = cut(tried.select("row", "start", "rank", "end", "mixed", "p_text"), "tried")
-    bins = [tuple(r) for r in tried.groupBy("mixed", _bin(F.col("p_text")).alias("b")).count().collect()]
-    together: dict[int, int] = {}
-    for _, b, n in bins:
-        together[b] = together.get(b, 0) + n
-    bar = discovery_bin(list(together.items()), rate)
-    bar_mixed = max(discovery_bin([(b, n) for m, b, n in bins if m], rate), math.ceil(-math.log10(MOST_TEXT) * _BIN))
-    passes = (_bin(F.col("p_text")) >= bar) | F.col("mixed") & (_bin(F.col("p_text")) >= bar_mixed)
+    n, family = F.length("token"), F.lit(0)
+    for least in LENGTHS:
+        family = F.when(n >= least, least).otherwise(family)
+    tried = battery(_clear(finds)).withColumn("family", F.concat_ws(":", "encoding", family))
+    tried = cut(tried.select("row", "start", "rank", "end", "mixed", "family", "p_text", "p_mixed"), "tried")
+    together = [(r.b, r.n) for r in tried.groupBy(_bin(F.col("p_text")).alias("b")).agg(F.count("*").alias("n")).collect()]
+    bar = discovery_bin(together, rate)
+    apart: dict[str, list[tuple[int, int]]] = {}
+    for r in tried.where("mixed").groupBy("family", _bin(F.col("p_mixed")).alias("b")).agg(F.count("*").alias("n")).collect():
+        apart.setdefault(r.family, []).append((r.b, r.n))
+    least = math.ceil(-math.log10(MOST_TEXT) * _BIN)
+    bars = F.create_map(*[x for k, h in sorted(apart.items()) for x in (F.lit(k), F.lit(max(discovery_bin(h, rate), least)))]) if apart else F.create_map().cast("map<string,int>")
+    passes = (_bin(F.col("p_text")) >= bar) | F.coalesce(F.col("mixed") & (_bin(F.col("p_mixed")) >= bars[F.col("family")]), F.lit(False))
     added = tried.where(passes).groupBy("row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("added"))
-    out = finds.join(added, "row", "left").withColumn("added", F.coalesce(F.col("added"), F.array()).cast(slim))
+    out = finds.drop("tokens").join(added, "row", "left").withColumn("added", F.coalesce(F.col("added"), F.array()).cast(slim))
     names = F.array(*[F.lit(k) for k, *_ in BASE], F.lit("random"))
 
     def joined(spans):
@@ -206,24 +265,41 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     )
 
 
+def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
+    """``text`` with each of ``spans`` (a, z), sorted and apart, replaced by ``mask``; piece by piece, so the work grows
+    as the text, not as the text times its spans."""
+
+    def part(piece, j):
+        low = j * _PIECE
+        own = F.filter(spans, lambda s: (s["z"] > low) & (s["a"] < low + _PIECE))
+
+        def of(own):
+            start = lambda i: F.when(i == 0, low).otherwise(F.get(own, i - 1)["z"])
+            kept = F.transform(own, lambda s, i: F.concat(F.substring(piece, start(i) - low + 1, F.greatest(s["a"] - start(i), F.lit(0))), F.when(s["a"] >= low, F.lit(mask)).otherwise(F.lit(""))))
+            last = F.when(F.size(own) > 0, F.get(own, F.size(own) - 1)["z"]).otherwise(low)
+            return F.concat(F.array_join(kept, ""), F.substring(piece, last - low + 1, F.lit(_PIECE)))
+
+        return F.get(F.transform(F.array(own), of), F.lit(0))
+
+    return F.array_join(F.transform(pieces(text), part), "")
+
+
 def redacted(docs: DataFrame, text_col: str = "text", mask: str = MASK, rate: float = FDR) -> DataFrame:
     """The rows and columns of ``docs`` with every found span of ``text_col`` replaced by ``mask``; spans that
-    overlap are replaced as one. Texts without finds, null ones among them, stay as they are."""
-    kept, text = docs.columns, F.col(text_col)
-    may = F.coalesce(text.contains("AKIA") | text.rlike(BASE[0][1]) | text.rlike(BASE[2][1]) | text.rlike(TOKEN), F.lit(False))
-    # spans depend on the text alone, so a text is its own key; only rows that a pattern meets are joined
-    key = F.sha2(text.cast("binary"), 256)
-    found = scan(docs.where(may).select(key.alias("_lodeframe_key"), text), "_lodeframe_key", text_col, rate).where("spans <> ''")
-    spans = found.groupBy(F.col("doc_id").alias("_lodeframe_found")).agg(F.max("spans").alias("_lodeframe_spans"))
-    df = docs.where(may).withColumn("_lodeframe_key", key).join(spans, F.col("_lodeframe_key") == F.col("_lodeframe_found"), "left")
-    parts = F.transform(F.split("_lodeframe_spans", ","), lambda s: F.transform(F.slice(F.split(s, ":"), 2, 2), lambda x: x.cast("int")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        a, z = F.get(s, F.lit(0)), F.get(s, F.lit(1))
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, a - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], z).alias("at"), F.when(a >= acc["at"], new).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(parts, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    masked = df.withColumn(text_col, F.when(F.col("_lodeframe_found").isNotNull(), done).otherwise(text)).select(*kept)
-    return docs.where(~may).unionByName(masked)
+    overlap are replaced as one. Texts without finds, null ones among them, stay as they are, as do all other columns, whatever their names."""
+    kept, text = [f"`{c}`" for c in docs.columns], F.col(f"`{text_col}`")
+    may = F.coalesce(text.rlike(MAY), F.lit(False))
+    key, found, spans = (unused(docs, f"_lodeframe_{x}") for x in ("key", "found", "spans"))
+    # spans depend on the text alone, so a text is its own key; only rows that may hold one are joined
+    digest = F.sha2(text.cast("binary"), 256)
+    hits = scan(docs.where(may).select(digest.alias("key"), text.alias("text")), "key", "text", rate).where("spans <> ''").groupBy("doc_id").agg(F.max("spans").alias("spans"))
+    part = F.split("s", ":")
+    each = hits.select("doc_id", F.explode(F.split("spans", ",")).alias("s")).select("doc_id", F.get(part, F.lit(1)).cast("int").alias("a"), F.get(part, F.lit(2)).cast("int").alias("z"))
+    earlier = Window.partitionBy("doc_id").orderBy("a", "z")
+    each = each.withColumn("end", F.max("z").over(earlier.rowsBetween(Window.unboundedPreceding, -1)))
+    each = each.withColumn("group", F.sum(F.when(F.col("end") > F.col("a"), 0).otherwise(1)).over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+    apart = each.groupBy("doc_id", "group").agg(F.min("a").alias("a"), F.max("z").alias("z")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias(spans))
+    apart = cut(apart.withColumnRenamed("doc_id", found), "spans")
+    df = docs.where(may).withColumn(key, digest).join(apart, F.col(key) == F.col(found), "left")
+    done = df.withColumn(text_col, F.when(F.col(found).isNotNull(), masked(text, F.col(spans), mask)).otherwise(text)).select(*kept)
+    return docs.where(~may).unionByName(done)
