@@ -5,11 +5,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.scratch import cut
-
 #: License statements and notices looked for, as (license, text).
 TEMPLATES = (
     ("MIT", "Released under the MIT License"),
@@ -34,12 +32,22 @@ TEMPLATES = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"),
 )
 #: Statements of fewer than SHINGLE words, each one shingle of its own length; numbered after the templates.
 SHORT = (("Proprietary", "All rights reserved"),)
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Hash functions, each a band of one row: two sets of similarity J share a band with chance 1 - (1 - J) ** BANDS.
 BANDS = 24
+#: Words of a text whose windows are made together; rows of bands that are broadcast, at most.
+CHUNK, MOST_BANDS = 4096, 100_000
 _WORD = re.compile(r"[a-z0-9]+")
 _SQL_WORD = "[a-z0-9]+"
 
@@ -131,63 +139,71 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     thirds overlap), where its similarity is 0.25 or more even at the least containment, so that some
     band meets with a chance of 0.999. A statement of fewer than ``k`` words is found wherever its words
     follow each other, but for places where it is part of a longer template of its license that the
-    document holds. Templates are statements and notices, not the long texts of the licenses (of Apache,
-    GPL, MPL and CC), and BSD-3-Clause holds the two conditions of BSD-2-Clause. Null and empty texts and null ids match nothing; repeated rows
+    document holds. Templates are statements, notices and the short licenses whole, not the long texts of Apache,
+    GPL, MPL and CC; BSD-3-Clause holds the conditions of BSD-2-Clause. Null and empty texts and null ids match nothing; repeated rows
     of an id give one row; an empty table gives an empty result; other columns are not read.
 
     Documents without any anchor word of any template cannot hold enough shingles and are passed over
-    before windows are made, as are windows without one; both are exact. Windows stay inside their
-    document's row: only verified matches become rows.
+    before windows are made, as are windows without an anchor of a template of their width; both are exact. Words are taken in
+    chunks, so no row holds all windows of a long text. Windows whose bands are in no template of their width go; the
+    others meet the table of bands in a join, and exact containment decides.
     """
     spark = docs.sparkSession
     table = template_table(spark, templates, k)
     sizes = _sizes(templates, k)
-    own = {sizes[len(words(t))]: _own(len(words(t)), k) for _, t in templates}
-    known = [[" ".join(w[j : j + own[sizes[len(w)]]]) for j in range(len(w) - own[sizes[len(w)]] + 1)] for w in (words(t) for _, t in templates)]
-    anchor = sorted(set().union(*(anchors(list(dict.fromkeys(s)), containment) for s in known)))
-    widths = sorted(own)
+    tokens_of = [words(t) for _, t in templates]
+    width_of, own_of = [sizes[len(w)] for w in tokens_of], [_own(len(w), k) for w in tokens_of]
+    index = table.select("template", "license", "width", F.col("shingles").alias("wanted"), F.posexplode(_bands(F.col("shingles"))).alias("band", "value"))
+    keys: dict[int, list[int]] = {}
+    for r in index.select("width", F.xxhash64("band", "value").alias("key")).collect():  # of the given list of templates
+        keys.setdefault(r.width, []).append(r.key)
+    anchors_of: dict[int, set[str]] = {}
+    for w, width, own in zip(tokens_of, width_of, own_of, strict=True):
+        anchors_of.setdefault(width, set()).update(anchors(list(dict.fromkeys(" ".join(w[j : j + own]) for j in range(len(w) - own + 1))), containment))
+    every = sorted(set().union(*anchors_of.values()))
+    kinds = F.array(*[
+        F.struct(F.lit(w).alias("width"), F.lit(stride(w) if w >= k else 1).alias("stride"), F.lit(min(w, k)).alias("k"), F.array(*[F.lit(x) for x in sorted(anchors_of[w])]).alias("anchors"), F.array(*[F.lit(x) for x in sorted(keys[w])]).alias("keys"))
+        for w in sorted(keys)
+    ])
     low = F.lower(F.col(text_col))
-    src = docs.where(F.col(id_col).isNotNull() & low.rlike("(?<![a-z0-9])(?:" + "|".join(anchor) + ")(?![a-z0-9])")).select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(low, F.lit(_SQL_WORD), F.lit(0)).alias("tokens"))
-    src = cut(src, "tokens")
-    n = F.size("tokens")
-    listed = F.array(*[F.lit(a) for a in anchor])
-    spots = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(listed, F.get("tokens", i)))
-    starts = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(stride(w) if w >= k else 1).alias("stride"), F.lit(own[w]).alias("k")) for w in widths])
+    src = docs.where(F.col(id_col).isNotNull() & low.rlike("(?<![a-z0-9])(?:" + "|".join(every) + ")(?![a-z0-9])"))
+    src = src.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(low, F.lit(_SQL_WORD), F.lit(0)).alias("tokens"))
+    lead, reach = 2, max(keys) + 2
+    starts = F.transform(F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / CHUNK).cast("int")), lambda c: F.struct((c * CHUNK).alias("base"), F.least(c * CHUNK, F.lit(lead)).alias("skip"), F.slice("tokens", c * CHUNK - F.least(c * CHUNK, F.lit(lead)) + 1, F.lit(CHUNK + reach + lead)).alias("part")))
+    src = src.where(F.size("tokens") > 0).select("doc_id", "row", F.explode(starts).alias("c")).select("doc_id", "row", "c.*")
+    listed = F.array(*[F.lit(x) for x in every])
+    spots = F.filter(F.sequence(F.lit(0), F.size("part") - 1), lambda i: F.array_contains(listed, F.get("part", i)))
+    src = src.withColumn("spots", spots).where(F.size("spots") > 0)
 
     def windows_of(x):
-        # the starts of this width's windows that cover a spot
-        at = F.flatten(F.transform("spots", lambda s: F.transform(F.sequence(F.greatest(F.lit(0), F.floor((s - x["width"]) / x["stride"]).cast("int") + 1), F.floor(s / x["stride"]).cast("int")), lambda j: j * x["stride"])))
-        return F.transform(F.array_distinct(at), lambda a: F.struct(x["width"].alias("width"), a.alias("first_word"), _shingles(F.slice("tokens", a + 1, x["width"]), x["k"]).alias("shingles")))
-
-    marks = table.select("template", "license", "width", "shingles", _bands(F.col("shingles")).alias("bands")).orderBy("template").collect()  # the fixed list
-    wide = F.array(*[F.lit(m.width) for m in marks])
-    bands = F.array(*[F.array(*[F.lit(v) for v in m.bands]) for m in marks])
-    wanted = F.array(*[F.array(*[F.lit(v) for v in m.shingles]) for m in marks])
-
-    def candidates(w):
-        """Templates of the window's width that share a band, with the share of their shingles that it holds."""
-        own = _bands(w["shingles"])
-        met = F.filter(F.sequence(F.lit(0), F.lit(len(marks) - 1)), lambda t: (F.get(wide, t) == w["width"]) & F.arrays_overlap(F.zip_with(own, F.get(bands, t), lambda x, y: x == y), F.array(F.lit(True))))
-        return F.transform(met, lambda t: F.struct(t.alias("place"), w["first_word"].alias("first_word"), (F.size(F.array_intersect(w["shingles"], F.get(wanted, t))) / F.size(F.get(wanted, t))).alias("containment")))
-
-    spotted = src.withColumn("spots", spots).where(F.size("spots") > 0)
-    spotted = spotted.withColumn("windows", F.filter(F.flatten(F.transform(starts, windows_of)), lambda w: F.size(w["shingles"]) > 0))
-    held = F.filter(F.flatten(F.transform("windows", candidates)), lambda c: c["containment"] >= containment)
-    spotted = spotted.withColumn("held", held)
-
-    def apart(c):
-        # not the part of a longer template that the document holds
-        inside = F.lit(False)
-        for i, j, before, after in _parts(templates, k):
-            at, end = c["first_word"], c["first_word"] + len(words(templates[i][1]))
-            around = [F.get("tokens", at - len(before) + n) == w for n, w in enumerate(before)] + [F.get("tokens", end + n) == w for n, w in enumerate(after)]
-            there = F.exists("held", lambda h: h["place"] == j) & (c["place"] == i)
-            for x in around:
-                there = there & F.coalesce(x, F.lit(False))
-            inside = inside | there
-        return ~inside
-
-    found = spotted.select("doc_id", F.explode(F.filter("held", apart)).alias("c")).select("doc_id", "c.*")
-    names = F.array(*[F.lit(m.license) for m in marks])
-    found = found.groupBy("doc_id", "place").agg(F.max("containment").alias("containment"), F.count("*").alias("n_windows"), F.min("first_word").cast("bigint").alias("first_word"))
-    return found.select("doc_id", F.get(names, F.col("place")).alias("license"), F.col("place").alias("template"), "containment", "n_windows", "first_word")
+        # the starts of this width's windows that lie in the chunk and cover a spot of theirs
+        own = F.filter("spots", lambda i: F.array_contains(x["anchors"], F.get("part", i)))
+        at = F.flatten(F.transform(own, lambda i: F.transform(F.sequence(F.greatest(F.lit(0), F.floor((i + F.col("base") - F.col("skip") - x["width"]) / x["stride"]).cast("int") + 1), F.floor((i + F.col("base") - F.col("skip")) / x["stride"]).cast("int")), lambda j: j * x["stride"])))
+        at = F.filter(F.array_distinct(at), lambda a: (a >= F.col("base")) & (a < F.col("base") + CHUNK))
+
+        def window(a):
+            i = a - F.col("base") + F.col("skip")
+            short = x["k"] < k
+            around = lambda at, n: F.when(short, F.slice("part", at, n)).otherwise(F.array().cast("array<string>"))
+            return F.struct(x["width"].alias("width"), a.alias("first_word"), _shingles(F.slice("part", i + 1, x["width"]), x["k"]).alias("shingles"), around(F.greatest(i - lead, F.lit(0)) + 1, F.least(i, F.lit(lead))).alias("before"), around(i + x["width"] + 1, F.lit(lead)).alias("after"))
+
+        made = F.transform(F.transform(at, window), lambda w: F.struct(w.alias("w"), F.transform(_bands(w["shingles"]), lambda v, b: F.struct(b.alias("band"), v.alias("value"))).alias("bands")))
+        return F.filter(made, lambda m: (F.size(m["w"]["shingles"]) > 0) & F.arrays_overlap(F.transform(m["bands"], lambda b: F.xxhash64(b["band"], b["value"])), x["keys"]))
+
+    met = src.select("doc_id", "row", F.explode(F.flatten(F.transform(kinds, windows_of))).alias("m")).select("doc_id", "row", "m.w.*", F.explode("m.bands").alias("b"))
+    met = met.select("doc_id", "row", "width", "first_word", "shingles", "before", "after", F.col("b.band").alias("band"), F.col("b.value").alias("value"))
+    met = met.join(F.broadcast(index) if len(templates) * BANDS <= MOST_BANDS else index, ["width", "band", "value"])
+    share = F.size(F.array_intersect("shingles", "wanted")) / F.size("wanted")
+    found = met.select("doc_id", "row", "template", "license", "first_word", share.alias("containment"), "before", "after").where(F.col("containment") >= containment)
+    found = found.groupBy("doc_id", "row", "template", "license", "first_word").agg(F.max("containment").alias("containment"), F.first("before").alias("before"), F.first("after").alias("after"))
+    inside = F.lit(False)
+    for i, j, before, after in _parts(templates, k):
+        # the part of a longer template that the document holds: the words around it are those of the template
+        held = F.coalesce(F.max(F.when(F.col("template") == j, True)).over(Window.partitionBy("row")), F.lit(False))
+        around = [F.get("before", F.size("before") - len(before) + n) == w for n, w in enumerate(before)] + [F.get("after", F.lit(n)) == w for n, w in enumerate(after)]
+        there = (F.col("template") == i) & held
+        for x in around:
+            there = there & F.coalesce(x, F.lit(False))
+        inside = inside | there
+    found = found.withColumn("_inside", inside).where(~F.col("_inside"))
+    return found.groupBy("doc_id", "template", "license").agg(F.max("containment").alias("containment"), F.count("*").alias("n_windows"), F.min("first_word").cast("bigint").alias("first_word")).select("doc_id", "license", "template", "containment", "n_windows", "first_word")

@@ -87,3 +87,27 @@ def test_short_statement_counts_apart_from_its_longer_template(spark):
     short = len(L.TEMPLATES)
     assert {k: v for k, v in got.items() if k[1] == short} == {(1, short): (1, 0), (2, short): (3000, 0), (4, short): (1, 0)}
     assert {k[0] for k in got if k[1] == 14} == {0, 1}
+
+
+def test_short_licenses_whole_and_chunks(spark, monkeypatch):
+    """Whole licenses, a few words changed, at any place of a long text; chunks of any size give the same."""
+    rng = random.Random(11)
+    filler = "onsel verte and the of rights all work license software copies notice".split()
+    rows = []
+    for i, (name, text) in enumerate(t for t in L.TEMPLATES if len(L.words(t[1])) > 60):
+        w = text.split()
+        for _ in range(2):
+            w[rng.randrange(len(w))] = "altered"
+        rows.append((i, " ".join([*(rng.choice(filler) for _ in range(300 + 37 * i)), *w, *(rng.choice(filler) for _ in range(50)), "All rights reserved"]), name))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    got = sorted(map(tuple, L.scan(docs).collect()))
+    assert all(any(g[0] == i and g[1] == name and g[3] >= 0.8 for g in got) for i, _, name in rows) and len(rows) >= 6
+    assert all(any(g[0] == i and g[2] == len(L.TEMPLATES) for g in got) for i, *_ in rows)
+    for size in (700, 64):
+        monkeypatch.setattr(L, "CHUNK", size)
+        assert sorted(map(tuple, L.scan(docs).collect())) == got
+
+
+def test_bands_are_an_index(spark):
+    plan = L.scan(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "band" in plan and "NestedLoop" not in plan and "Python" not in plan
