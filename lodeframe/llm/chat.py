@@ -84,13 +84,14 @@ def conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     ``segments`` is an array of (text, loss): markers and escaped texts in order; ``formatted`` joins them.
     Turns are ordered by turn (null first), ties by role and text, repeated rows included. A null text or
     role is an empty one; a role that the template doesn't name is kept, between the template's
-    ``other`` marks; an order that the machine forbids is flagged and formatted all the same. Rows
-    whose conversation id is null form one conversation. An empty table gives an empty
+    ``other`` marks; an order that the machine forbids is flagged and formatted all the same. A row
+    whose conversation id is null belongs to no other row's conversation: it is one of its own, with a null id. An empty table gives an empty
     result; other columns are not read.
     """
     template.check()
     row = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    grouped = turns.select(F.col(conv_col).alias("conv_id"), row.alias("row")).groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    alone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    grouped = turns.select(F.col(conv_col).alias("conv_id"), alone.alias("alone"), row.alias("row")).groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     o = template.other
 
     def segments(r):

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.scratch import cut
+from lodeframe.llm.scratch import cut, discard
 
 DIM, GRAMS = 1 << 13, 3
 #: Labelled rows that the clustering may use, for all languages together, and for one.
@@ -86,8 +86,12 @@ def _clusters(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return c, reject
 
 
-def _learn_pass(share: dict[str, float]):
-    """Document frequencies of a task's rows (kind 0), and the vectors of the sampled ones (kind 1)."""
+def _learn_pass(cutoff: dict[str, float]):
+    """Document frequencies of a task's rows (kind 0), how many rows there are (kind 2), and the vectors of those whose hash is
+    within their language's cutoff (kind 1)."""
+
+    def batch(kind, lang, h, at, n):
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(lang, pa.string()), pa.array(h, pa.float64()), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64()))], names=["kind", "lang", "h", "at", "n"])
 
     def run(batches):
         df, n = np.zeros(DIM, np.int64), 0
@@ -99,47 +103,47 @@ def _learn_pass(share: dict[str, float]):
                     continue
                 df += c > 0
                 n += 1
-                if h.as_py() < share[lang.as_py()]:
+                if h.as_py() <= cutoff.get(lang.as_py(), -1.0):
                     at = np.flatnonzero(c)
-                    out.append((lang.as_py(), h.as_py(), at.astype(np.int32), c[at]))
+                    out.append((1, lang.as_py(), h.as_py(), at.astype(np.int32), c[at]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([1] * len(out), pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True))], names=["kind", "lang", "h", "at", "n"])
+                yield batch(*map(list, zip(*out, strict=True)))
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([""]), pa.array([0.0]), pa.array([np.arange(DIM, dtype=np.int32)], pa.list_(pa.int32())), pa.array([df], pa.list_(pa.int64()))], names=["kind", "lang", "h", "at", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([""]), pa.array([0.0]), pa.array([[0]], pa.list_(pa.int32())), pa.array([[n]], pa.list_(pa.int64()))], names=["kind", "lang", "h", "at", "n"])
+            yield batch([0, 2], ["", ""], [0.0, 0.0], [np.arange(DIM, dtype=np.int32), np.zeros(1, np.int32)], [df, np.array([n])])
 
     return run
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, each: int = SAMPLE_EACH) -> Model | None:
     """Learn from the rows where ``learn`` holds and the language is not null. IDF counts all of them; the
-    clusters use at most ``each`` of a language and ``sample`` in all, the first by a hash of the id.
-    None if there is nothing to learn from."""
+    clusters use at most ``each`` ids of a language and ``sample`` in all, the first by a hash of the id; of rows that
+    repeat an id and language, one (the greatest vector). Of more than ``sample`` languages, the ``sample`` with the most ids are
+    learnt. None if there is nothing to learn from."""
     known = docs.where(learn & F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(sample + 1).collect()}
-    rows = known.where(F.col(text_col).isNotNull())
+    h = ((F.xxhash64(F.col(id_col).cast("string"), F.lit(11)).bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)).alias("h")
+    # ids are counted roughly: a repeated id must not make its language's share of the sample smaller
+    sizes = known.groupBy(F.col(lang_col).alias("lang")).agg(F.approx_count_distinct(id_col).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
     if not sizes:
         return None
-    if len(sizes) > sample:
-        raise ValueError(f"more than {sample} languages")
     each = max(1, min(each, sample // len(sizes)))
-    share = {k: 1.5 * each / v for k, v in sizes.items()}
-    h = ((F.xxhash64(F.col(id_col).cast("string"), F.lit(11)).bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)).alias("h")
-    got = cut(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), h).mapInArrow(_learn_pass(share), "kind int, lang string, h double, at array<int>, n array<bigint>"), "langid")
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, (2.0 * each + 20) / max(1, r.n))) for r in sizes], "_lang string, _share double")  # at most ``sample`` rows
+    first = known.select(F.col(lang_col).alias("lang"), h).join(F.broadcast(share), F.col("lang") == F.col("_lang")).where("h < _share").select("lang", "h").distinct()
+    ranked = first.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each)
+    cutoff = {r.lang: r.h for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    rows = known.where(F.col(text_col).isNotNull())
+    got = cut(rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), h).mapInArrow(_learn_pass(cutoff), "kind int, lang string, h double, at array<int>, n array<bigint>"), "langid")
     df = got.where("kind = 0").select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n")).toPandas()
     docs_n = got.where("kind = 2").agg(F.sum(F.col("n")[0])).first()[0]
     if not docs_n:
         return None
     idf = np.zeros(DIM, np.float32)
     idf[df["at"].to_numpy()] = np.log((1 + docs_n) / (1 + df["n"].to_numpy(np.float64))) + 0.1
-    by_lang: dict[str, list] = {}
-    for r in got.where("kind = 1").select("lang", "h", "at", "n").collect():
-        by_lang.setdefault(r["lang"], []).append((r["h"], r["at"], r["n"]))
+    picked = got.where("kind = 1").groupBy("lang", "h").agg(F.max(F.struct("at", "n")).alias("x")).select("lang", "h", "x.at", "x.n").orderBy("lang", "h").toPandas()  # at most ``sample`` rows
+    discard(got)
     centroids, langs, reject = [], [], []
-    for lang in sorted(by_lang):
-        picked = sorted(by_lang[lang])[:each]
-        x = np.zeros((len(picked), DIM))
-        for i, (_, at, n) in enumerate(picked):
+    for lang, own in picked.groupby("lang", sort=True):
+        x = np.zeros((len(own), DIM), np.float32)
+        for i, (at, n) in enumerate(zip(own["at"], own["n"], strict=True)):
             x[i, at] = n
         c, r = _clusters(vectors(x, idf), CENTROIDS)
         centroids.append(c)

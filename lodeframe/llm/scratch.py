@@ -11,17 +11,6 @@ from lodeframe.sources.shared import discard, shared_dir  # noqa: F401
 from lodeframe.sources.shared import written as cut  # noqa: F401
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; 0 if it has none (a plan that isn't backed by files)."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else 0
-
-
-def partitions_for(df: DataFrame, bytes_each: int) -> int:
-    """Partitions of about ``bytes_each`` of input; never fewer than ``spark.sql.shuffle.partitions``."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bytes_each))
-
-
 def is_held_out(doc_id: str) -> Column:
     """crc32 of the id as text is divisible by 5; a null id is never learnt from and counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -127,14 +127,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null or wordless texts have fingerprint zero and are linked like any other. Repeated rows and
     copies share a component. A row whose id is null gets its fingerprint, and a null component
-    unless another row with an id has the same fingerprint. An empty table gives an empty result;
+    unless another row with an id has the same fingerprint. Ids may be of any type that has an order. An empty table gives an empty result;
     other columns, whatever their names, are not read.
 
-    Copies collapse to distinct fingerprints (with the smallest id) before any join.
+    Copies collapse to distinct fingerprints (with the smallest id) before any join; fingerprints, not ids, are linked.
     """
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    fps = cut(src.mapInArrow(_fingerprints(shingle), "id bigint, fp bigint"), "fingerprints")
+    kind = docs.schema[id_col].dataType.simpleString()
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    fps = cut(src.mapInArrow(_fingerprints(shingle), f"id {kind}, fp bigint"), "fingerprints")
     reps = fps.groupBy("fp").agg(F.min("id").alias("rep"))
-    linked = components(links(reps.where("rep IS NOT NULL"), distance, bucket_limit))
-    label = reps.join(linked, reps.rep == linked.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    linked = components(links(reps.where("rep IS NOT NULL").select("fp", F.col("fp").alias("rep")), distance, bucket_limit))
+    grouped = reps.join(linked, reps.fp == linked.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+    label = grouped.join(least, "component").select("fp", "component_id")
     return fps.join(label, "fp", "left").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -13,13 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lodeframe.llm.hashing import window_hashes, word_hashes
-from lodeframe.llm.scratch import partitions_for
 
 PERIOD, COVER = 7, (1, 2, 4)
 #: Hashes that a map task gathers before it combines and emits them.
 CHUNK = 1 << 20
+#: Bytes of text, as they are once read, to each partition of the shuffles: a task sorts the hashes of about so much.
+PART_BYTES = 48 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -214,7 +216,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words that lie in a window of ``window`` consecutive words which also starts in a document with
     a smaller id are removed; all windows are judged on the input. Null and empty texts have no
     words. A row with a null id keeps all its words and removes none of others'. Rows that repeat an
-    id are each judged against smaller ids only. An empty table gives an empty result; other
+    id are each judged against smaller ids only. Ids must be integers. An empty table gives an empty result; other
     columns are not read.
 
     The texts are shuffled once, by id, for both later passes. A passage that very many documents
@@ -223,9 +225,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if window < 2 * PERIOD - 1:
         raise ValueError(f"a shared anchor is certain from {2 * PERIOD - 1} words on")
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError("ids must be integers")
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    n = partitions_for(src, 32 << 20)
-    by_id = src.repartition(n, "id")
+    named, result = src.where("id IS NOT NULL"), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    by_id = named.repartition(n, "id")
 
     def per_doc(df):
         return df.groupBy("doc").agg(F.collect_list("h").alias("hs"))
@@ -233,7 +239,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def with_hashes(found):
         return by_id.join(per_doc(found), by_id.id == F.col("doc"), "left").select("id", "text", "hs")
 
-    shared = src.mapInArrow(_anchors(n), _PROBES).repartitionById(n, F.col("bucket")).mapInArrow(_decide(True), "doc bigint, h bigint")
+    shared = named.mapInArrow(_anchors(n), _PROBES).repartitionById(n, F.col("bucket")).mapInArrow(_decide(True), "doc bigint, h bigint")
     probes = with_hashes(shared).mapInArrow(_extended(n, window), _PROBES)
     earlier = probes.repartitionById(n, F.col("bucket")).mapInArrow(_decide(False), "doc bigint, h bigint")
-    return with_hashes(earlier).mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    # rows without an id stay where they are
+    return with_hashes(earlier).mapInArrow(_kept(window), result).unionByName(src.where("id IS NULL").mapInArrow(_kept(window), result))

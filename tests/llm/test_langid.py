@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -46,3 +48,53 @@ def test_far_texts_are_rejected(spark):
     held = is_held_out("doc_id")
     by = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs, ~held), held).collect()}
     assert by[999].rejected and not by[2].rejected
+
+
+def test_predictions_match_brute_force(spark):
+    """Grams counted one by one, IDF, cosine with each centroid, and the nearest one's language."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = is_held_out("doc_id")
+    m = langid.fit(docs, ~held)
+    got = {r.doc_id: r for r in langid.predict(docs, m, held).collect()}
+    rows = docs.select("doc_id", "text", "lang").collect()
+    mix, mask = [int(x) for x in langid._MIX], (1 << 64) - 1
+
+    def bucket(gram):
+        x = (ord(gram[0]) + 1) * mix[0] & mask
+        for c in gram[1:]:
+            x = (x * mix[1] + (ord(c) + 1) * mix[0]) & mask
+        return ((x ^ x >> 15) * mix[2] & mask) >> 12 & (langid.DIM - 1)
+
+    memo = {}
+    df, n = np.zeros(langid.DIM), 0
+    vectors = {}
+    for r in rows[:400]:
+        text = "".join(c if c.isalpha() else " " for c in (r.text or "").lower())
+        if not text.strip():
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        text = " " + " ".join(text.split()) + (" " if text[-1] == " " else "")
+        v = np.zeros(langid.DIM)
+        for size in (1, 2, 3):
+            for at in range(max(0, 1 - size + 1), len(text) - size + 1):
+                if at + size - 1 >= 1 or size == 1 and at >= 1:
+                    g = text[at : at + size]
+                    v[memo.setdefault(g, bucket(g))] += 1
+        vectors[r.doc_id] = v
+    for i, v in vectors.items():
+        w = np.where(v > 0, 1 + np.log(np.maximum(v, 1)), 0) * m.idf
+        near = m.centroids @ (w / np.linalg.norm(w))
+        assert m.langs[int(np.argmax(near))] == got[i].lang_pred or np.sort(near)[-1] - np.sort(near)[-5] < 1e-4, i
+        assert abs(min(1, max(0, near.max())) - got[i].score) < 1e-4
+        assert got[i].rejected == (near.max() < m.reject[int(np.argmax(near))]) or abs(near.max() - m.reject[int(np.argmax(near))]) < 1e-4
+    known = [r for r in rows if r.text is not None and r.lang is not None and not is_zero_mod(r.doc_id)]
+    for b in range(0, langid.DIM, 97):  # IDF counts every row that may be learnt from
+        n = sum(langid.counts(r.text) is not None for r in known) if not b else n
+        if not b:
+            table = [langid.counts(r.text) for r in known]
+        df = sum(c is not None and c[b] > 0 for c in table)
+        assert abs(m.idf[b] - (np.log((1 + n) / (1 + df)) + 0.1)) < 1e-4
+
+
+def is_zero_mod(i):
+    return zlib.crc32(str(i).encode()) % 5 == 0
