@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +20,30 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/lodeframe-{uuid.uuid4().hex}/{label}"
+    path = f"{shared_dir(spark)}/lodeframe-{uuid.uuid4().hex}/{label}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables written to the shared folder inside are deleted at the end; what a query returns must have been read by then.
+
+    with scope(spark):
+        query(spark, sf_dir).write.parquet(path)
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

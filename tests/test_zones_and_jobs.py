@@ -1,6 +1,7 @@
 """Zoned tables, appends, jobs and scalar functions."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from lodeframe.functions.expressions import Lit, Ref
 from lodeframe.session import Engine
 from lodeframe.sources import parquet as P
+from lodeframe.sources.shared import scope, shared_dir, written
 
 SF = "/root/testdata/sf0.01"
 
@@ -86,3 +88,14 @@ def test_scalar_functions(spark):
     engine = Engine(spark)
     engine.register_function("lode_twice", lambda x: x * 2, "double")
     assert engine.sql("SELECT lode_twice(21) AS v").first().v == 42.0
+
+
+def test_a_scope_leaves_no_tables(spark):
+    base = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(base.iterdir()) if base.exists() else set()
+    with scope(spark):
+        kept = written(spark.range(5), "kept")
+        with scope(spark):
+            written(spark.range(3), "inner")
+        assert kept.count() == 5 and len(set(base.iterdir()) - before) == 1
+    assert set(base.iterdir()) == before
