@@ -68,7 +68,10 @@ def compile_plan(plan: R.Relation, table_of) -> DataFrame:
     def node(r: R.Relation) -> DataFrame:
         match r:
             case R.Read(table, columns, partial, subqueries):
-                df = table_of(table)
+                df = None
+                if partial is not None and not subqueries and (prune := getattr(table_of, "pruned", None)):
+                    df = prune(table, partial)
+                df = table_of(table) if df is None else df
                 if missing := [c for c in columns if c not in df.columns]:
                     raise KeyError(f"table {table} has no column {missing[0]}")
                 if partial is not None:

@@ -260,6 +260,15 @@ def zone_pruned_scan(spark, sf_dir):
     return P.read_zoned(spark, path, (Ref(0) >= 4500) & (Ref(0) < 9500) & (Ref(2) > 100000.0))
 
 
+def zone_pruned_plan(spark, sf_dir):
+    """A filter in a plan over a zoned table; the rules move it into the read, and the catalog's zones decide what is read."""
+    engine, path = Engine(spark), fresh_path(spark, "zoned")
+    P.write_zoned(Tables(spark, sf_dir)("orders"), path, "o_orderkey", 16)
+    engine.catalog.register_zoned("zoned_orders", path)
+    engine.sql("SET use_partition_pruning = true")
+    return engine.run_plan(R.Aggregate(R.Filter(R.Read("zoned_orders", ("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")), (Ref(0) < 2000) & (Ref(2) > 1000.0)), (Ref(3),), (("count_all", None), ("max", Ref(0))))).toDF("o_orderstatus", "n", "last")
+
+
 def partition_file_filter(spark, sf_dir):
     path = fresh_path(spark, "by_region")
     Tables(spark, sf_dir)("nation").select("n_nationkey", "n_name", F.col("n_regionkey").cast("bigint").alias("n_regionkey")).write.partitionBy("n_regionkey").parquet(path)
@@ -366,6 +375,7 @@ def udr_stateful(spark, sf_dir):
 
 
 add("zone_pruned_scan", zone_pruned_scan, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey >= 4500 AND o_orderkey < 9500 AND o_totalprice > 100000.0")
+add("zone_pruned_plan", zone_pruned_plan, "SELECT o_orderstatus, count(*) AS n, max(o_orderkey) AS last FROM orders WHERE o_orderkey < 2000 AND o_totalprice > 1000.0 GROUP BY o_orderstatus")
 add("partition_file_filter", partition_file_filter, "SELECT n_nationkey::INTEGER AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
 add("write_task", write_task, "SELECT s_suppkey, s_nationkey FROM supplier")
 add("snapshot", snapshot, "SELECT c_custkey, c_mktsegment FROM customer")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeframe.sources.parquet import read_zoned
+
 #: Storage kind -> options it takes, and the storage level that stands for it.
 STORAGE = {
     "boost_shared_memory": ((), StorageLevel.MEMORY_AND_DISK),
@@ -61,6 +63,7 @@ class TableInfo:
     frame: DataFrame | None = None
     backed: bool = False
     parts: list[DataFrame] = field(default_factory=list)
+    zones: str | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -110,6 +113,12 @@ class Catalog:
         df.createOrReplaceTempView(name)
         return info
 
+    def register_zoned(self, name: str, path: str, unique_keys=(), rows: int | None = None) -> TableInfo:
+        """A table that ``write_zoned`` wrote; plans that filter it read only the zones that may hold a row."""
+        info = self.register_frame(name, read_zoned(self.spark, path), unique_keys, rows)
+        info.zones = path
+        return info
+
     def drop(self, name: str, if_exists: bool = False) -> None:
         if name not in self:
             if if_exists:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.functions.expressions import Lit, Ref
+from lodeframe.plans import relations as R
 from lodeframe.session import Engine
 from lodeframe.sources import parquet as P
 from lodeframe.sources.shared import scope, shared_dir, written
@@ -99,3 +100,19 @@ def test_a_scope_leaves_no_tables(spark):
             written(spark.range(3), "inner")
         assert kept.count() == 5 and len(set(base.iterdir()) - before) == 1
     assert set(base.iterdir()) == before
+
+
+def test_plans_over_zoned_tables_read_few_files(spark, tmp_path):
+    P.write_zoned(spark.read.parquet(f"{SF}/orders.parquet"), str(tmp_path / "t"), "o_orderkey", 20)
+    engine = Engine(spark)
+    engine.catalog.register_zoned("zoned_t", str(tmp_path / "t"), unique_keys=[("o_orderkey",)])
+    plan = R.Filter(R.Read("zoned_t", ("o_orderkey", "o_totalprice")), (Ref(0) >= 3000) & (Ref(0) < 3500))
+    counts = {}
+    for way in ("false", "true"):
+        engine.sql(f"SET use_partition_pruning = {way}")
+        df = engine.run_plan(plan)
+        counts[way] = files_read(df)
+        assert sorted(r[0] for r in df.collect()) == list(range(3000, 3500))
+    assert counts["true"] <= 3 and counts["false"] >= 20
+    assert engine.sql("SELECT count(*) AS n FROM zoned_t").first().n == 15000
+    spark.conf.unset("spark.sql.inMemoryColumnarStorage.partitionPruning")
