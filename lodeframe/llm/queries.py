@@ -54,7 +54,7 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"))
+    return mixing.mixed(table(spark, sf_dir, "documents"), slack=0.01)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
