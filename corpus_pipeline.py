@@ -43,10 +43,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that sources, languages and topics have their tempered shares. Null values of these are values
+    """Samples documents so that sources, languages and topics have tempered shares. Null values of these are values
     of their own; documents without words have no weight and go; rows that repeat an id stay or go together, and so do all
     rows with a null id."""
-    return mixing.sampled(docs)
+    return mixing.sampled(docs, slack=0.01)
 
 
 STAGES = [
