@@ -332,11 +332,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     place = spark.createDataFrame([(w, i) for i, w in enumerate(names)], "word string, place int")
     held = got.withColumn("row", F.monotonically_increasing_id()).select("toxic", "copies", "row", F.explode_outer("words").alias("word")).join(F.broadcast(place), "word", "left")
     held = held.groupBy("row").agg(F.max("toxic").alias("y"), F.max("copies").alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
-    held = held.orderBy("places", "y", "n").drop("row").toPandas()  # at most ``sample`` rows of at most ``most`` places
+    held = held.drop("row").toPandas()  # at most ``sample`` rows of at most ``most`` places
     discard(got)
     discard(learnt)
-    sets = [np.asarray(x, np.int64) for x in held["places"]]
-    w, bias = logistic(sets, held["y"].to_numpy(float), 1 + np.log(held["n"].to_numpy(float)), len(names))
+    rows = sorted(zip(map(tuple, held["places"]), held["y"], held["n"], strict=True))  # in one order at any partitioning
+    sets, y, times = zip(*rows, strict=True)
+    w, bias = logistic([np.array(x, np.int64) for x in sets], np.array(y, float), 1 + np.log(np.array(times, float)), len(names))
     return Model(lm, {names[i]: float(w[i]) for i in np.flatnonzero(w)}, bias, hidden)
 
 
