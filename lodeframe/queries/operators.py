@@ -93,6 +93,10 @@ plan_query("join_null_safe", R.Join(NULLABLE, _PER_VALUE, Ref(1).same(Ref(2)), "
 plan_query("join_self", R.Join(NATION, NATION, Ref(2).eq(Ref(5)) & (Ref(0) < Ref(3)), "inner", (0, 3)), ("a", "b"), "SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey")
 for _hint in ("broadcast_right", "broadcast_left", "shuffle"):
     plan_query(f"join_{_hint}_hint", R.Join(ORDERS, CUSTOMER, Ref(1).eq(Ref(5)), "inner", (0, 8), hint=_hint), ("o_orderkey", "c_mktsegment"), "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
+#: One small side for two joins; Spark builds and ships it once.
+_NAMED = R.Filter(NATION, Ref(0) < 20)
+_TWICE = R.SetOp("union_all", R.Join(SUPPLIER, _NAMED, Ref(1).eq(Ref(3)), "inner", (0, 4), "broadcast_right"), R.Join(CUSTOMER, _NAMED, Ref(1).eq(Ref(4)), "inner", (0, 5), "broadcast_right"))
+plan_query("join_reused_build", _TWICE, ("k", "n_name"), "SELECT s_suppkey AS k, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey < 20 UNION ALL SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 20")
 plan_query("shuffle_by_key", R.Shuffle(SUPPLIER, (1,)), ("s_suppkey", "s_nationkey", "s_acctbal"), "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier")
 
 # --- aggregates ----------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from lodeframe.functions.expressions import Ref
 from lodeframe.plans import relations as R
 from lodeframe.plans.compile import compile_plan
 from lodeframe.plans.rules import Optimizer
+from lodeframe.queries import QUERIES
 from lodeframe.session import Engine
 
 
@@ -97,3 +98,10 @@ def test_byte_columns_and_one_character(engine, spark):
         assert [r.n for r in compile_plan(plan, engine).collect()] == [1]
     for kept in (E.Binary("=", E.Cast(Ref(0), "string"), E.Lit("AB")), E.Binary("=", E.Cast(Ref(1), "string"), E.Lit("1")), E.Binary("<", E.Cast(Ref(0), "string"), E.Lit("A"))):
         assert rule(R.Filter(read, kept), engine.catalog).condition == kept
+
+
+def test_a_build_side_used_twice_is_built_once(spark):
+    df = QUERIES["join_reused_build"](spark, "/root/testdata/sf0.01")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("BroadcastHashJoin") == 2
