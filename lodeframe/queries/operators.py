@@ -97,6 +97,8 @@ for _hint in ("broadcast_right", "broadcast_left", "shuffle"):
 _NAMED = R.Filter(NATION, Ref(0) < 20)
 _TWICE = R.SetOp("union_all", R.Join(SUPPLIER, _NAMED, Ref(1).eq(Ref(3)), "inner", (0, 4), "broadcast_right"), R.Join(CUSTOMER, _NAMED, Ref(1).eq(Ref(4)), "inner", (0, 5), "broadcast_right"))
 plan_query("join_reused_build", _TWICE, ("k", "n_name"), "SELECT s_suppkey AS k, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey < 20 UNION ALL SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 20")
+#: All partitions gathered into one; for small tables only.
+plan_query("concatenate", R.Shuffle(R.SetOp("union_all", NATION, NATION), (), 1), _NR[:3], "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation")
 plan_query("shuffle_by_key", R.Shuffle(SUPPLIER, (1,)), ("s_suppkey", "s_nationkey", "s_acctbal"), "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier")
 
 # --- aggregates ----------------------------------------------------------------------------------

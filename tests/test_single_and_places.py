@@ -105,3 +105,8 @@ def test_a_build_side_used_twice_is_built_once(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "ReusedExchange" in plan and plan.count("BroadcastHashJoin") == 2
+
+
+def test_concatenated_partitions_are_one(spark):
+    df = QUERIES["concatenate"](spark, "/root/testdata/sf0.01")
+    assert df.rdd.getNumPartitions() == 1 and df.count() == 50
