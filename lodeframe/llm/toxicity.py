@@ -335,9 +335,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     held = held.drop("row").toPandas()  # at most ``sample`` rows of at most ``most`` places
     discard(got)
     discard(learnt)
-    rows = sorted(zip(map(tuple, held["places"]), held["y"], held["n"], strict=True))  # in one order at any partitioning
-    sets, y, times = zip(*rows, strict=True)
-    w, bias = logistic([np.array(x, np.int64) for x in sets], np.array(y, float), 1 + np.log(np.array(times, float)), len(names))
+    sets = [np.asarray(x, np.int32) for x in held["places"]]
+    order = sorted(range(len(sets)), key=lambda i: (sets[i].tobytes(), held["y"][i], held["n"][i]))  # the same at any partitioning
+    w, bias = logistic([sets[i] for i in order], held["y"].to_numpy(float)[order], 1 + np.log(held["n"].to_numpy(float)[order]), len(names))
     return Model(lm, {names[i]: float(w[i]) for i in np.flatnonzero(w)}, bias, hidden)
 
 
