@@ -170,6 +170,8 @@ class Restorer:
     def __init__(self, lm: np.ndarray, keep=None, hidden=None):
         self.lm, self.keep, self.memo, self.plain, self.read = lm, keep, {}, set(), {}
         hidden = (keep or frozenset()) if hidden is None else hidden
+        self.kept_stems = {w[1:]: w for w in keep or () if w[0] == "^"}
+        self.prefixes = {w[:n] for w in self.kept_stems for n in STEMS if n <= len(w)}
         self.inside = [w for w in hidden if w[0] != "^" and len(w) > 3]
         self.bare = {skeleton(w) for w in hidden if w[0] != "^"}
         self.stems = {skeleton(w[1:]) for w in hidden if w[0] == "^"}
@@ -208,11 +210,20 @@ class Restorer:
             found.add(self.decoded(t))
         return found
 
+    def kept(self, word: str) -> list[str]:
+        """Those of ``features(word)`` that are in ``keep``."""
+        found = [word] if word in self.keep else []
+        for n in STEMS:
+            if len(word) <= n or word[:n] not in self.prefixes:
+                break  # no longer stem begins so either
+            if stem := self.kept_stems.get(word[:n]):
+                found.append(stem)
+        return found
+
     def shown(self, t: str) -> set[str]:
-        found = {f for w in self.token(t) for f in features(w)}
         if self.keep is None:
-            return found
-        found &= self.keep
+            return {f for w in self.token(t) for f in features(w)}
+        found = {f for w in self.token(t) for f in self.kept(w)}
         if len(t) <= 64:
             if len(self.memo) + len(self.plain) > 150_000:
                 self.memo.clear()
@@ -236,8 +247,7 @@ class Restorer:
                 if self.keep is None:
                     found.update(features(read))
                 else:
-                    found.update(f for w in self.inside if w in read for f in features(w) if f in self.keep)
-                    found.update(self.keep.intersection(features(read)))
+                    found.update(f for w in [*(w for w in self.inside if w in read), read] for f in self.kept(w))
         return found
 
 
@@ -245,19 +255,29 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, times: np.ndarray, size: int
     """Weights and bias that minimise the log-loss of ``rows`` (places of the features that each holds, of ``size``)
     with labels ``y``, each counted ``times`` times, plus l1 * |w| + l2 * w^2 / 2, by accelerated proximal
     steps. The same rows in any order give the same weights but for rounding."""
-    n = len(rows)
-    row, col = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+    n, none = len(rows), np.zeros(0, np.int32)
+    col = np.concatenate([none, *rows]).astype(np.int32)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])[np.argsort(col, kind="stable")]  # in order of their columns
+
+    def sums(of: np.ndarray, size: int, counts: np.ndarray) -> np.ndarray:
+        """Sums of ``of`` over runs of ``counts`` places."""
+        out, full = np.zeros(size), np.flatnonzero(counts)
+        if len(full):
+            out[full] = np.add.reduceat(of, (np.cumsum(counts) - counts)[full])
+        return out
+
+    by_row, by_col = np.array([len(r) for r in rows], np.int64), np.bincount(col, minlength=size)
     w, b, t = np.zeros(size), math.log(((times * y).sum() + 0.5) / ((times * (1 - y)).sum() + 0.5)), 1.0
     x, top = np.ones(size + 1), 1.0
     for _ in range(40):  # the largest curvature
-        z = 0.25 * times * (np.bincount(row, x[col], n) + x[-1])
-        x = np.append(np.bincount(col, z[row], size), z.sum())
+        z = 0.25 * times * (sums(x[col], n, by_row) + x[-1])
+        x = np.append(sums(z[row], size, by_col), z.sum())
         top = float(np.linalg.norm(x)) or 1.0
         x /= top
     step, v, c = 1 / (1.05 * top + l2), w, b
     for _ in range(rounds):
-        off = times * (1 / (1 + np.exp(-np.clip(np.bincount(row, v[col], n) + c, -500, 500))) - y)
-        new = v - step * (np.bincount(col, off[row], size) + l2 * v)
+        off = times * (1 / (1 + np.exp(-np.clip(sums(v[col], n, by_row) + c, -500, 500))) - y)
+        new = v - step * (sums(off[row], size, by_col) + l2 * v)
         new, new_b = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0), c - step * off.sum()
         back = (v - new) @ (new - w) + (c - new_b) * (new_b - b) > 0  # momentum leads uphill: start it anew
         ahead = 1.0 if back else (1 + math.sqrt(1 + 4 * t * t)) / 2
