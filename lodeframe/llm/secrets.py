@@ -290,9 +290,10 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = MASK, rate: fl
     kept, text = [f"`{c}`" for c in docs.columns], F.col(f"`{text_col}`")
     may = F.coalesce(text.rlike(MAY), F.lit(False))
     key, found, spans = (unused(docs, f"_lodeframe_{x}") for x in ("key", "found", "spans"))
-    # spans depend on the text alone, so a text is its own key; only rows that may hold one are joined
+    # spans depend on the text alone, so a text is its own key; only rows that may hold one are written and joined
     digest = F.sha2(text.cast("binary"), 256)
-    hits = scan(docs.where(may).select(digest.alias("key"), text.alias("text")), "key", "text", rate).where("spans <> ''").groupBy("doc_id").agg(F.max("spans").alias("spans"))
+    some = cut(docs.where(may), "may")
+    hits = scan(some.select(digest.alias("key"), text.alias("text")), "key", "text", rate).where("spans <> ''").groupBy("doc_id").agg(F.max("spans").alias("spans"))
     part = F.split("s", ":")
     each = hits.select("doc_id", F.explode(F.split("spans", ",")).alias("s")).select("doc_id", F.get(part, F.lit(1)).cast("int").alias("a"), F.get(part, F.lit(2)).cast("int").alias("z"))
     earlier = Window.partitionBy("doc_id").orderBy("a", "z")
@@ -300,6 +301,6 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = MASK, rate: fl
     each = each.withColumn("group", F.sum(F.when(F.col("end") > F.col("a"), 0).otherwise(1)).over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
     apart = each.groupBy("doc_id", "group").agg(F.min("a").alias("a"), F.max("z").alias("z")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias(spans))
     apart = cut(apart.withColumnRenamed("doc_id", found), "spans")
-    df = docs.where(may).withColumn(key, digest).join(apart, F.col(key) == F.col(found), "left")
+    df = some.withColumn(key, digest).join(apart, F.col(key) == F.col(found), "left")
     done = df.withColumn(text_col, F.when(F.col(found).isNotNull(), masked(text, F.col(spans), mask)).otherwise(text)).select(*kept)
     return docs.where(~may).unionByName(done)
