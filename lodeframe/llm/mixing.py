@@ -141,7 +141,7 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: f
     share in the cells when their tokens are raised to ``power``. ``residual``, the same in all rows, is how far the worst share of a marginal stays from its target:
     over 1e-6 only where targets and cells cannot be met together.
 
-    Dimensions are source, language and topic, a cluster of the text's words (``topics``), unless ``dims`` gives others as
+    Dimensions are source, language and topic, a cluster of the text's words (``topics``, learnt from every text), unless ``dims`` gives others as
     columns. A null value of a dimension is a value of its own (``∅``); rows with a null id
     hash as an empty one. Repeated rows stand or fall together. An empty table gives an empty result; other columns are not read.
     """
@@ -149,9 +149,10 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: f
     own = dims or {"source": F.col("source"), "lang": F.col("lang")}
     values = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(d) for d, c in own.items()]
     if dims is None:
-        model = topics.fit(docs, text_col)
         with small_batches(spark):
-            rows = cut(topics.assigned(docs.select(F.col(id_col).alias("doc_id"), *values, text.alias("_text")), model, "_text"), "tokens")
+            words = cut(topics.counted(docs.select(F.col(id_col).alias("doc_id"), *values, text.alias("_text")), "_text"), "words")
+            rows = cut(topics.placed(words, topics.fit_counted(words)), "tokens")
+        discard(words)
         names = [*own, "topic"]
     else:
         rows = cut(docs.select(F.col(id_col).alias("doc_id"), *values, n_tokens(text).alias("n_tokens")), "tokens")

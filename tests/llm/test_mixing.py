@@ -123,3 +123,21 @@ def test_topics_tell_subjects_apart(spark):
             near = (np.log1p(v) * model.idf) @ model.centroids.T
             assert near[int(got[i].topic[5:])] >= near.max() - 1e-4
     assert topics.fit(docs.limit(0)) is None and topics.assigned(docs.limit(0).select("doc_id", "text"), None, "text").collect() == []
+
+
+def test_topics_are_learnt_from_every_text(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"only{i} " + " ".join(rng.choice([f"{'abc'[i % 3]}{k}" for k in range(20)], 12))) for i in range(3000)]
+    docs = spark.createDataFrame(rows + [(-i, "one text of many copies") for i in range(1, 2000)] + [(9000, None)], "doc_id bigint, text string").repartition(5)
+    x = np.array([topics.counts(t)[0] for _, t in rows] + [topics.counts("one text of many copies")[0]], float)
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1
+    x = np.log1p(x) * idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    one = topics.fit(docs, topics=1)
+    assert np.allclose(one.idf, idf, atol=1e-4) and np.allclose(one.centroids[0], x.mean(0) / np.linalg.norm(x.mean(0)), atol=1e-4)
+    model, again = topics.fit(docs, topics=3), topics.fit(docs.repartition(3), topics=3)
+    assert np.array_equal(model.centroids, again.centroids)
+    near = np.argmax(x @ model.centroids.T, axis=1)
+    want = np.array([x[near == k].mean(0) for k in range(3)])
+    assert np.allclose(model.centroids, want / np.linalg.norm(want, axis=1, keepdims=True), atol=1e-3)
+    assert {len(set(near[:3000][k::3])) for k in range(3)} == {1} and len(set(near[:3])) == 3
