@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm.hashing import word_hashes
-from lodeframe.llm.scratch import cut, discard, small_batches
+from lodeframe.llm.scratch import cut, discard, merged, small_batches
 
 DIM = 1 << 11
-#: Clusters at most, and passes by which each level of splits is settled at most.
+#: Clusters at most, and passes that settle each level of splits.
 TOPICS, ROUNDS = 8, 3
 NONE = "none"
 _STEP = 1 << 16
@@ -89,20 +89,10 @@ def counted(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return src.mapInArrow(_count(src.columns.index(text_col)), f"{kept}, n_tokens bigint, _vec binary")
 
 
-def _merge(batches):
-    total = None
-    for b in batches:
-        for x in b.column(0):
-            x = np.frombuffer(x.as_py())
-            total = x if total is None else total + x
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-
 def _summed(texts: DataFrame, run, size: int) -> np.ndarray:
     """The sum over all tasks of the ``size`` numbers that ``run`` gives for each, added up in a few tasks first."""
     with small_batches(texts.sparkSession, 2048):
-        parts = texts.select("_vec").mapInArrow(run, "sums binary").repartition(4).mapInArrow(_merge, "sums binary").collect()
+        parts = texts.select("_vec").mapInArrow(run, "sums binary").repartition(4).mapInArrow(merged, "sums binary").collect()
     return sum((np.frombuffer(r.sums) for r in parts), np.zeros(size))
 
 
@@ -116,10 +106,10 @@ def _holders(batches):
 
 
 def _sides(shared):
-    """For both sides of each split that is tried: its texts, and by bucket the sums of their values and squares."""
+    """For both sides of each split that is tried: its texts, and by bucket the sums of their values and, if asked for, of the squares."""
 
     def run(batches):
-        idf, vectors, splits, tried = shared.value
+        idf, vectors, splits, tried, squares = shared.value
         cells = 2 * len(tried)
         total = np.zeros((cells, 1 + 2 * DIM))
         for b in batches:
@@ -132,11 +122,13 @@ def _sides(shared):
                     i = 2 * (len(splits) + k)
                     side = x[:, bucket] > over if bucket is not None else near[:, i + 1] > near[:, i]
                     cell = np.where(leaf == own, 2 * k + side, cell)
-                has = cell[row] >= 0
-                place, q = cell[row][has] * DIM + at[has], np.rint(v[has] * _GRID).astype(np.float64) / _GRID
+                place, q = cell[row] * DIM + at, np.rint(v * np.float32(_GRID)) / _GRID
+                if cell.min() < 0:
+                    place, q = place[place >= 0], q[place >= 0]
                 total[:, 0] += np.bincount(cell[cell >= 0], minlength=cells)
                 total[:, 1 : 1 + DIM] += np.bincount(place, q, cells * DIM).reshape(cells, DIM)
-                total[:, 1 + DIM :] += np.bincount(place, q * q, cells * DIM).reshape(cells, DIM)
+                if squares:
+                    total[:, 1 + DIM :] += np.bincount(place, q * q, cells * DIM).reshape(cells, DIM)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     return run
@@ -147,7 +139,7 @@ def fit_counted(rows: DataFrame, topics: int = TOPICS, least: float = 0.02, roun
     None if there is no text with words.
 
     The largest clusters are split in two, until there are enough: first at the mean of the bucket that varies most within, then
-    by the nearer of the sides' centroids, until no side changes or for ``rounds`` passes. Every pass reads all texts' vectors; only
+    by the nearer of the sides' centroids, in ``rounds`` passes. Every pass reads all texts' vectors; only
     sums by cluster come to the driver.
     """
     spark = rows.sparkSession
@@ -159,13 +151,13 @@ def fit_counted(rows: DataFrame, topics: int = TOPICS, least: float = 0.02, roun
     idf = np.log((1 + n) / (1 + np.array(df))).astype(np.float32) + np.float32(0.1)
     splits, fixed = [], np.zeros((0, DIM), np.float32)
 
-    def passed(tried: list, vectors: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast((idf, np.concatenate([fixed, vectors]), splits, tried))
+    def passed(tried: list, vectors: np.ndarray, squares: bool = False) -> np.ndarray:
+        shared = spark.sparkContext.broadcast((idf, np.concatenate([fixed, vectors]), splits, tried, squares))
         sums = _summed(texts, _sides(shared), 2 * len(tried) * (1 + 2 * DIM))
         shared.destroy()
         return sums.reshape(2 * len(tried), 1 + 2 * DIM)
 
-    leaves = [passed([(0, 0, math.inf)], np.zeros((2, DIM), np.float32))[0]]
+    leaves = [passed([(0, 0, math.inf)], np.zeros((2, DIM), np.float32), True)[0]]
     left = {0}  # those that may be split
     while left and len(leaves) < topics:
         own = sorted(left, key=lambda k: (-leaves[k][0], k))[: topics - len(leaves)]
@@ -176,11 +168,9 @@ def fit_counted(rows: DataFrame, topics: int = TOPICS, least: float = 0.02, roun
             tried.append((k, bucket, float(mean[bucket])))
         sums = passed(tried, np.zeros((2 * len(own), DIM), np.float32))
         tried = [(k, None, 0.0) for k in own]
-        for _ in range(rounds):
-            centres, before = _unit(sums[:, 1 : 1 + DIM]).astype(np.float32), sums
-            sums = passed(tried, centres)
-            if np.array_equal(sums[:, : 1 + DIM], before[:, : 1 + DIM]):
-                break
+        for turn in range(rounds):
+            centres = _unit(sums[:, 1 : 1 + DIM]).astype(np.float32)
+            sums = passed(tried, centres, turn == rounds - 1)
         for i, k in enumerate(own):
             two = sums[2 * i : 2 * i + 2]
             if two[:, 0].min() < max(1, least * n):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.scratch import cut, discard, small_batches
+from lodeframe.llm.scratch import cut, discard, merged, small_batches
 
-#: Labelled rows that the lexicon is learnt from, at most.
-SAMPLE = 20_000
+#: Features of the distinct rows of the fit, added up, that the driver may hold; more are fitted as a table, by the same rule.
+DRIVER_ENTRIES = 2_000_000
 #: Words and stems that the classifier may weigh, at most: those that go best with the label.
 FEATURES = 8192
 #: Lengths of the stems that count as features beside whole words: what inflects shows by its stem.
@@ -222,7 +223,12 @@ class Restorer:
 
     def shown(self, t: str) -> set[str]:
         if self.keep is None:
-            return {f for w in self.token(t) for f in features(w)}
+            found = {f for w in self.token(t) for f in features(w)}
+            if len(t) <= 64:
+                if len(self.memo) > 30_000:
+                    self.memo.clear()
+                self.memo[t] = tuple(found)
+            return found
         found = {f for w in self.token(t) for f in self.kept(w)}
         if len(t) <= 64:
             if len(self.memo) + len(self.plain) > 150_000:
@@ -238,7 +244,7 @@ class Restorer:
         text = (text or "").lower()
         found = set()
         for t in set(text.split()) - self.plain:
-            found |= self.memo.get(t) or self.shown(t)
+            found.update(self.memo.get(t) or self.shown(t))
         for m in _SPACED.finditer(f" {text} "):
             runs = _WIDE.split(m[0].strip())
             # wide blanks may stand between letters as well as between words
@@ -251,36 +257,35 @@ class Restorer:
         return found
 
 
-def logistic(rows: list[np.ndarray], y: np.ndarray, times: np.ndarray, size: int, l1: float = L1, l2: float = L2, rounds: int = 600) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the log-loss of ``rows`` (places of the features that each holds, of ``size``)
-    with labels ``y``, each counted ``times`` times, plus l1 * |w| + l2 * w^2 / 2, by accelerated proximal
-    steps. The same rows in any order give the same weights but for rounding."""
-    n, none = len(rows), np.zeros(0, np.int32)
-    col = np.concatenate([none, *rows]).astype(np.int32)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])[np.argsort(col, kind="stable")]  # in order of their columns
+def _runs(of: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of ``of`` over runs of ``counts`` places."""
+    out, full = np.zeros(len(counts)), np.flatnonzero(counts)
+    if len(full):
+        out[full] = np.add.reduceat(of, (np.cumsum(counts) - counts)[full])
+    return out
 
-    def sums(of: np.ndarray, size: int, counts: np.ndarray) -> np.ndarray:
-        """Sums of ``of`` over runs of ``counts`` places."""
-        out, full = np.zeros(size), np.flatnonzero(counts)
-        if len(full):
-            out[full] = np.add.reduceat(of, (np.cumsum(counts) - counts)[full])
-        return out
 
-    by_row, by_col = np.array([len(r) for r in rows], np.int64), np.bincount(col, minlength=size)
-    w, b, t = np.zeros(size), math.log(((times * y).sum() + 0.5) / ((times * (1 - y)).sum() + 0.5)), 1.0
+def _off(z: np.ndarray, y: np.ndarray, times: np.ndarray, curved: bool) -> np.ndarray:
+    """The slope of each row's loss at log-odds ``z``; of its greatest parabola, if not ``curved``."""
+    return times * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) if curved else 0.25 * times * z
+
+
+def _descended(back, size: int, hits: float, misses: float, l1: float, l2: float, rounds: int, turns: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of the least loss, by accelerated proximal steps. ``back(w, b, curved)``: the sums of ``_off`` over the rows of
+    each feature, and over all rows, where the rows' log-odds are those of ``w`` and ``b``."""
+    w, b, t = np.zeros(size), math.log((hits + 0.5) / (misses + 0.5)), 1.0
     x, top = np.ones(size + 1), 1.0
-    for _ in range(40):  # the largest curvature
-        z = 0.25 * times * (sums(x[col], n, by_row) + x[-1])
-        x = np.append(sums(z[row], size, by_col), z.sum())
+    for _ in range(turns):  # the largest curvature
+        x = back(x[:-1], x[-1], False)
         top = float(np.linalg.norm(x)) or 1.0
         x /= top
     step, v, c = 1 / (1.05 * top + l2), w, b
     for _ in range(rounds):
-        off = times * (1 / (1 + np.exp(-np.clip(sums(v[col], n, by_row) + c, -500, 500))) - y)
-        new = v - step * (sums(off[row], size, by_col) + l2 * v)
-        new, new_b = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0), c - step * off.sum()
-        back = (v - new) @ (new - w) + (c - new_b) * (new_b - b) > 0  # momentum leads uphill: start it anew
-        ahead = 1.0 if back else (1 + math.sqrt(1 + 4 * t * t)) / 2
+        slope = back(v, c, True)
+        new = v - step * (slope[:-1] + l2 * v)
+        new, new_b = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0), c - step * slope[-1]
+        uphill = (v - new) @ (new - w) + (c - new_b) * (new_b - b) > 0  # start the momentum anew
+        ahead = 1.0 if uphill else (1 + math.sqrt(1 + 4 * t * t)) / 2
         moved = max(float(np.abs(new - w).max(initial=0)), abs(new_b - b))
         v, c = new + (t - 1) / ahead * (new - w), new_b + (t - 1) / ahead * (new_b - b)
         w, b, t = new, float(new_b), ahead
@@ -289,21 +294,90 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, times: np.ndarray, size: int
     return w, b
 
 
-def _feature_pass(shared):
+def logistic(rows: list[np.ndarray], y: np.ndarray, times: np.ndarray, size: int, l1: float = L1, l2: float = L2, rounds: int = 600, turns: int = 40) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the log-loss of ``rows`` (places of the features that each holds, of ``size``)
+    with labels ``y``, each counted ``times`` times, plus l1 * |w| + l2 * w^2 / 2, by accelerated proximal
+    steps. The same rows in any order give the same weights but for rounding."""
+    col = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[np.argsort(col, kind="stable")]  # in order of their columns
+    by_row, by_col = np.array([len(r) for r in rows], np.int64), np.bincount(col, minlength=size)
+
+    def back(w, b, curved):
+        off = _off(_runs(w[col], by_row) + b, y, times, curved)
+        return np.append(_runs(off[row], by_col), off.sum())
+
+    return _descended(back, size, float((times * y).sum()), float((times * (1 - y)).sum()), l1, l2, rounds, turns)
+
+
+def _back_pass(shared):
+    def run(batches):
+        w, b, curved = shared.value
+        total = np.zeros(len(w) + 1)
+        for batch in batches:
+            places, y, times = (batch.column(k) for k in range(3))
+            col, by_row = places.flatten().to_numpy(zero_copy_only=False), np.diff(places.offsets.to_numpy())
+            off = _off(_runs(w[col], by_row) + b, y.to_numpy(), times.to_numpy(), curved)
+            total[:-1] += np.bincount(col, np.repeat(off, by_row), len(w))
+            total[-1] += off.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    return run
+
+
+def logistic_table(rows: DataFrame, size: int, l1: float = L1, l2: float = L2, rounds: int = 600, turns: int = 40) -> tuple[np.ndarray, float]:
+    """``logistic`` of a written table ``places, y, times`` of any size: each step reads it once, and only sums by feature come back."""
+    spark = rows.sparkSession
+
+    def back(w, b, curved):
+        shared = spark.sparkContext.broadcast((w, b, curved))
+        parts = rows.mapInArrow(_back_pass(shared), "sums binary").repartition(4).mapInArrow(merged, "sums binary").collect()
+        shared.destroy()
+        return sum((np.frombuffer(r.sums) for r in parts), np.zeros(size + 1))
+
+    hits, all_of = rows.agg(F.sum(F.col("times") * F.col("y")), F.sum("times")).first()
+    return _descended(back, size, hits, all_of - hits, l1, l2, rounds, turns)
+
+
+def _holders_pass(shared, most: int = 100_000):
+    """Per feature the toxic shares of its texts, added up, and how many texts; partial sums of at most ``most`` features at a time."""
+
+    def batch(a: dict, m: Counter):
+        return pa.RecordBatch.from_arrays([pa.array(list(m), pa.string()), pa.array([a.get(w, 0.0) for w in m], pa.float64()), pa.array(list(m.values()), pa.int64())], names=["word", "a", "m"])
+
     def run(batches):
-        r = Restorer(*shared.value)
+        r, a, m = Restorer(shared.value), {}, Counter()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(r.words(t.as_py())) for t in b.column(2)], pa.list_(pa.string()))], names=["toxic", "copies", "words"])
+            for y, t in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                found = r.words(t.as_py())
+                m.update(found)
+                if y:
+                    for w in found:
+                        a[w] = a.get(w, 0.0) + y
+                if len(m) > most:
+                    yield batch(a, m)
+                    a, m = {}, Counter()
+        yield batch(a, m)
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most: int = FEATURES) -> Model:
-    """The character model counts every text of ``docs``. The weights come from at most ``sample`` labelled
-    ids where ``learn`` holds (the first by a hash of the id; one text for each id, the greatest), over at most ``most`` words
+def _places_pass(shared):
+    def run(batches):
+        lm, names, hidden = shared.value
+        r, place = Restorer(lm, frozenset(names), hidden), {w: i for i, w in enumerate(names)}
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(place[w] for w in r.words(t.as_py())) for t in b.column(2)], pa.list_(pa.int32()))], names=["toxic", "copies", "places"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = FEATURES, driver_entries: int = DRIVER_ENTRIES) -> Model:
+    """The character model counts every text of ``docs``. The weights come from every labelled
+    id where ``learn`` holds (one text for each id, the greatest), over at most ``most`` words
     and stems, those of the greatest log-likelihood ratio with the label. Equal texts are one row of the
     fit, of weight 1 + log(copies) and with the mean of their labels, so that a text of many copies
-    doesn't decide alone.
+    doesn't decide alone. Rows of the same features are added up, which leaves the loss as it is; the driver fits them
+    if they hold at most ``driver_entries`` features in all, else they are fitted as a table, by the same rule.
 
     An id with both labels counts as toxic; null ids and labels teach nothing. Without a labelled text every
     text scores 0; with labels of one kind only, about the share of that kind (one half added to each kind).
@@ -318,29 +392,24 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     lm = char_model(counts)
 
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    known = known.orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit(7)), "_id").limit(sample)
-    learnt = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
+    learnt = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(known, F.col("_doc") == F.col("_id"))
     learnt = learnt.groupBy("_id", "toxic").agg(F.max("text").alias("text")).groupBy("text").agg(F.avg("toxic").alias("toxic"), F.count("*").alias("copies"))
-    learnt = cut(learnt.select("toxic", "copies", "text"), "sample")
-
-    def shown(*restorer) -> DataFrame:
-        with small_batches(spark):
-            return cut(learnt.mapInArrow(_feature_pass(spark.sparkContext.broadcast(restorer)), "toxic double, copies bigint, words array<string>"), "features")
+    learnt = cut(learnt.select("toxic", "copies", "text"), "labelled")
 
-    got = shown(lm)
-    total = got.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0.0)).alias("k")).first()
+    total = learnt.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0.0)).alias("k")).first()
     n, k = total.n, total.k
-    if not n:
-        return Model(lm, {}, -math.inf)
     if k in (0, n):
-        return Model(lm, {}, math.log((k + 0.5) / (n - k + 0.5)))
+        discard(learnt)
+        return Model(lm, {}, math.log((k + 0.5) / (n - k + 0.5)) if n else -math.inf)
     a, m = F.col("a"), F.col("m")
 
     def part(x, e):
         return F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
 
     g2 = 2 * (part(a, m * k / n) + part(m - a, m * (n - k) / n) + part(F.lit(k) - a, (n - m) * k / n) + part(n - m - k + a, (n - m) * (n - k) / n))
-    by_word = got.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("m"))
+    with small_batches(spark):
+        got = cut(learnt.mapInArrow(_holders_pass(spark.sparkContext.broadcast(lm)), "word string, a double, m bigint"), "holders")
+    by_word = got.groupBy("word").agg(F.sum("a").alias("a"), F.sum("m").alias("m"))
     likely = by_word.where((a >= LEAST_HOLDERS) & (a * n > LEAST_LIFT * k * m) & (F.length("word") > 2)).withColumn("g2", g2)
     best = likely.orderBy(F.desc("g2"), "word").limit(most).collect()  # at most ``most``
     discard(got)
@@ -348,16 +417,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     hidden = frozenset([r.word for r in best if 2 * r.a > r.m and (r.word[0] != "^" or len(r.word) > LEAST_STEM)][:HIDDEN])
     lm = char_model(counts, {f.removeprefix("^"): 1e-4 * float(counts.sum()) ** 0.75 for f in hidden})
     # once more, as the score will see them
-    got = shown(lm, frozenset(names), hidden)
-    place = spark.createDataFrame([(w, i) for i, w in enumerate(names)], "word string, place int")
-    held = got.withColumn("row", F.monotonically_increasing_id()).select("toxic", "copies", "row", F.explode_outer("words").alias("word")).join(F.broadcast(place), "word", "left")
-    held = held.groupBy("row").agg(F.max("toxic").alias("y"), F.max("copies").alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
-    held = held.drop("row").toPandas()  # at most ``sample`` rows of at most ``most`` places
-    discard(got)
+    with small_batches(spark):
+        got = cut(learnt.mapInArrow(_places_pass(spark.sparkContext.broadcast((lm, names, hidden))), "toxic double, copies bigint, places array<int>"), "features")
     discard(learnt)
-    sets = [np.asarray(x, np.int32) for x in held["places"]]
-    order = sorted(range(len(sets)), key=lambda i: (sets[i].tobytes(), held["y"][i], held["n"][i]))  # the same at any partitioning
-    w, bias = logistic([sets[i] for i in order], held["y"].to_numpy(float)[order], 1 + np.log(held["n"].to_numpy(float)[order]), len(names))
+    times = 1 + F.log(F.col("copies").cast("double"))
+    held = cut(got.groupBy("places").agg(F.sum(times).alias("times"), (F.sum(times * F.col("toxic")) / F.sum(times)).alias("y")).select("places", "y", "times"), "rows")
+    discard(got)
+    if held.agg(F.sum(F.size("places") + 1)).first()[0] <= driver_entries:
+        here = held.toPandas()
+        sets = [np.asarray(x, np.int32) for x in here["places"]]
+        order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())  # the same at any partitioning
+        w, bias = logistic([sets[i] for i in order], here["y"].to_numpy(float)[order], here["times"].to_numpy(float)[order], len(names))
+    else:
+        w, bias = logistic_table(held, len(names))
+    discard(held)
     return Model(lm, {names[i]: float(w[i]) for i in np.flatnonzero(w)}, bias, hidden)
 
 

@@ -229,3 +229,25 @@ def test_a_long_spaced_run_is_read_whole(model):
     r = toxicity.Restorer(model, frozenset({"stupid"}))
     for n in range(58, 70):
         assert "stupid" in r.words("x " + "q " * n + "$ t u p 1 d " + "q " * 9 + ".")
+
+
+def test_every_label_teaches(spark):
+    ids = spark.range(24_000).withColumnRenamed("id", "doc_id")
+    last = {r.doc_id for r in ids.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).desc()).limit(40).collect()}
+    rows = [(i, f"plain words number{i} " + ("vilest" if i in last else "rotten" if i % 50 == 0 else "kindly")) for i in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    labels = spark.createDataFrame([(i, int(i in last or i % 50 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    m = toxicity.fit(docs, labels, F.lit(True))
+    assert {"vilest", "rotten"} <= m.weights.keys()
+    score = toxicity.Scorer(m)
+    assert score.one("words vilest") > 0.5 and score.one("words rotten") > 0.5 and score.one("words kindly") < 0.1
+
+
+def test_a_table_is_fitted_by_the_same_rule(spark):
+    rng = np.random.default_rng(6)
+    sets = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(60)]
+    y, times = rng.random(60), rng.integers(1, 4, 60).astype(float)
+    table = spark.createDataFrame([([int(p) for p in s], float(a), float(b)) for s, a, b in zip(sets, y, times, strict=True)], "places array<int>, y double, times double").repartition(3)
+    want = toxicity.logistic(sets, y, times, 6, rounds=8, turns=4)
+    got = toxicity.logistic_table(table, 6, rounds=8, turns=4)
+    assert np.allclose(got[0], want[0]) and np.isclose(got[1], want[1]) and np.abs(got[0]).max() > 0.01
