@@ -338,7 +338,7 @@ def logistic_table(rows: DataFrame, size: int, l1: float = L1, l2: float = L2, r
     return _descended(back, size, hits, all_of - hits, l1, l2, rounds, turns)
 
 
-def _holders_pass(shared, most: int = 100_000):
+def _holders_pass(shared, most: int = 300_000):
     """Per feature the toxic shares of its texts, added up, and how many texts; partial sums of at most ``most`` features at a time."""
 
     def batch(a: dict, m: Counter):
