@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.hashing import word_hashes
+from lodeframe.llm.hashing import distinct_word_hashes as word_hashes
 from lodeframe.llm.scratch import cut, discard, merged, small_batches
 
 DIM = 1 << 11
@@ -71,7 +71,7 @@ def _count(at: int):
             for k, t in enumerate(b.column(at)):
                 c, words[k] = counts(t.as_py())
                 if words[k]:
-                    has = np.flatnonzero(c)
+                    has = np.flatnonzero(c > 0)
                     e = np.empty(len(has), _ENTRY)
                     e["at"], e["v"] = has, np.log1p(c[has])
                     vec[k] = e.tobytes()

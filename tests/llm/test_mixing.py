@@ -1,7 +1,8 @@
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
-from lodeframe.llm import mixing, topics
+from lodeframe.llm import hashing, mixing, topics
 
 DOCS = [(i, "w " * (1 + i % 50), ["a", "a", "a", "a", "b", "c"][i % 6], ["x", "y", "y"][i // 6 % 3]) for i in range(3000)]
 
@@ -141,3 +142,16 @@ def test_topics_are_learnt_from_every_text(spark):
     want = np.array([x[near == k].mean(0) for k in range(3)])
     assert np.allclose(model.centroids, want / np.linalg.norm(want, axis=1, keepdims=True), atol=1e-3)
     assert {len(set(near[:3000][k::3])) for k in range(3)} == {1} and len(set(near[:3])) == 3
+
+
+def test_topics_remember_no_words():
+    hashing._memo.clear()
+    words = [f"w{i}é" for i in range(70_000)] + ["w1é", "x" * 100]
+    got, n = topics.counts(" \t".join(words))
+    want = np.zeros(topics.DIM, int)
+    for w in words:
+        want[xxhash.xxh64_intdigest(w.encode()) >> 20 & (topics.DIM - 1)] += 1
+    assert n == len(words) and np.array_equal(got, want)
+    assert topics.counts(None)[1] == topics.counts(" \n")[1] == 0 and topics.counts("")[0].sum() == 0
+    assert not hashing._memo  # looking words up in it cost more than hashing them
+    assert np.array_equal(hashing.distinct_word_hashes([w.encode() for w in words]), hashing.word_hashes([w.encode() for w in words]))
