@@ -13,10 +13,12 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.decontaminate import _bitmap, _in_bitmap
 from lodeframe.llm.scratch import cut, discard, merged, small_batches
 
 #: Features of the distinct rows of the fit, added up, that the driver may hold; more are fitted as a table, by the same rule.
@@ -371,6 +373,40 @@ def _places_pass(shared):
     return run
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs.join(ids, "_doc")``. A bitmap of the ids, two bits for each, drops most other rows of ``docs`` before any is moved."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(_bitmap(spark, ids.select(F.xxhash64("_doc").alias("h"))).tobytes())
+
+    @F.pandas_udf("boolean")
+    def found(h: pd.Series) -> pd.Series:
+        return pd.Series(_in_bitmap(np.frombuffer(shared.value, np.uint64), h.to_numpy(np.int64).view(np.uint64)))
+
+    return docs.where(found(F.xxhash64("_doc"))).join(ids, "_doc")
+
+
+def _learnt(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``toxic, copies, text``, written: each different text that an id of ``known`` (``_id, toxic``) has in ``docs`` (``_doc, text``),
+    of an id with several the greatest; the mean label and the number of its ids.
+
+    Ids and texts are matched by digests; one text of each digest is moved, and all texts of an id with several."""
+    digest = F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(bytearray())).alias("h")
+    same = F.col("_doc") == F.col("_id")
+    each = cut(docs.select("_doc", digest).join(known, same).groupBy("_id", "toxic").agg(F.min("_doc").alias("_doc"), F.min("h").alias("h"), F.max("h").alias("other")), "digests")
+    made, several = [each], each.where("h <> other").select("_id", "toxic")
+    with small_batches(docs.sparkSession):
+        if not several.isEmpty():
+            made.append(cut(docs.select("_doc").join(several, same).distinct(), "several"))
+            top = _texts_of(docs, made[-1]).groupBy("_id", "toxic").agg(F.max(F.struct("text", "_doc")).alias("top"))
+            made.append(cut(top.select("toxic", "top.*").select("toxic", "_doc", digest), "greatest"))
+            each = each.where("h = other").select("toxic", "_doc", "h").unionByName(made[-1])
+        made.append(cut(each.groupBy("h").agg(F.min("_doc").alias("_doc"), F.avg("toxic").alias("toxic"), F.count("*").alias("copies")).drop("h"), "texts"))
+        learnt = cut(_texts_of(docs, made[-1]).groupBy("_doc", "toxic", "copies").agg(F.max("text").alias("text")).drop("_doc"), "labelled")
+    for x in made:
+        discard(x)
+    return learnt
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = FEATURES, driver_entries: int = DRIVER_ENTRIES) -> Model:
     """The character model counts every text of ``docs``. The weights come from every labelled
     id where ``learn`` holds (one text for each id, the greatest), over at most ``most`` words
@@ -392,9 +428,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     lm = char_model(counts)
 
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    learnt = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(known, F.col("_doc") == F.col("_id"))
-    learnt = learnt.groupBy("_id", "toxic").agg(F.max("text").alias("text")).groupBy("text").agg(F.avg("toxic").alias("toxic"), F.count("*").alias("copies"))
-    learnt = cut(learnt.select("toxic", "copies", "text"), "labelled")
+    learnt = _learnt(docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")), known)
 
     total = learnt.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0.0)).alias("k")).first()
     n, k = total.n, total.k

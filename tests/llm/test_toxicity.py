@@ -251,3 +251,41 @@ def test_a_table_is_fitted_by_the_same_rule(spark):
     want = toxicity.logistic(sets, y, times, 6, rounds=8, turns=4)
     got = toxicity.logistic_table(table, 6, rounds=8, turns=4)
     assert np.allclose(got[0], want[0]) and np.isclose(got[1], want[1]) and np.abs(got[0]).max() > 0.01
+
+
+def test_one_text_of_each_is_moved_once(spark):
+    rng = np.random.default_rng(5)
+    texts = ["kind words " + "".join(chr(0x2460 + c) for c in rng.integers(0, 128, 6000)) + (" rotten" if i % 4 == 0 else " plain") for i in range(200)]
+    docs = spark.createDataFrame([(i, texts[i % 200]) for i in range(800)], "doc_id bigint, text string").repartition(3)  # two copies teach, the others have no label
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    moved = lambda: sum(e.totalShuffleWrite() for e in (x.apply(i) for x in [spark.sparkContext._jsc.sc().statusStore().executorList(False)] for i in range(x.size())))
+    folder = spark.conf.get("spark.checkpoint.dir")
+    docs.write.parquet(f"{folder}/one_text")
+    docs, least, name = spark.read.parquet(f"{folder}/one_text"), sum(len(t.encode()) for t in texts), "spark.sql.autoBroadcastJoinThreshold"
+    kept, before = spark.conf.get(name), moved()
+    spark.conf.set(name, "-1")
+    try:
+        m = toxicity.fit(docs, labels, F.lit(True))
+    finally:
+        spark.conf.set(name, kept)
+    assert "rotten" in m.weights and "plain" not in m.weights
+    assert moved() - before < 1.3 * least
+
+
+def test_what_is_learnt_by_definition(spark):
+    rng = np.random.default_rng(8)
+    texts = [None, "", "a", "b", "a b", "é", "z" * 5000, "z" * 4999 + "y"]
+    rows = [(int(rng.integers(0, 300)), texts[rng.integers(0, 8)]) for _ in range(500)] + [(None, "a"), (1, None), (400, None), (401, None), (401, "")]
+    rows += [(i, "once") for i in range(500, 540)]
+    known = {i: int(i % 3 == 0) for i in (*range(0, 300, 2), 400, 401, *range(500, 530))}
+    best = {}
+    for i, t in rows:
+        if i in known:
+            best[i] = max((x for x in (t, best.get(i)) if x is not None), key=lambda x: x.encode(), default=None)
+    want = {}
+    for i, t in best.items():
+        want.setdefault(t, []).append(known[i])
+    for kind in ("bigint", "string"):
+        docs = spark.createDataFrame(rows, "_doc bigint, text string").withColumn("_doc", F.col("_doc").cast(kind)).repartition(4)
+        got = toxicity._learnt(docs, spark.createDataFrame(list(known.items()), "_id bigint, toxic int")).collect()
+        assert len(got) == len(want) and {r.text: (round(r.toxic, 9), r.copies) for r in got} == {t: (round(sum(y) / len(y), 9), len(y)) for t, y in want.items()}
