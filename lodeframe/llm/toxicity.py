@@ -13,7 +13,6 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -378,9 +377,9 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_bitmap(spark, ids.select(F.xxhash64("_doc").alias("h"))).tobytes())
 
-    @F.pandas_udf("boolean")
-    def found(h: pd.Series) -> pd.Series:
-        return pd.Series(_in_bitmap(np.frombuffer(shared.value, np.uint64), h.to_numpy(np.int64).view(np.uint64)))
+    @F.arrow_udf("boolean")
+    def found(h: pa.Array) -> pa.Array:
+        return pa.array(_in_bitmap(np.frombuffer(shared.value, np.uint64), h.to_numpy().view(np.uint64)))
 
     return docs.where(found(F.xxhash64("_doc"))).join(ids, "_doc")
 
