@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeframe.functions import expressions as E
 
 _HOW = {"inner": "inner", "left": "left", "left_semi": "left_semi", "left_anti": "left_anti", "full": "full", "single": "left", "cross": "inner"}
-#: A hinted broadcast is only followed up to this size of the side, by Catalyst's estimate.
-BROADCAST_LIMIT = 256 << 20
+#: A hinted broadcast is only followed up to this size of the side's rows in memory; the driver holds about three times as much.
+BROADCAST_LIMIT = 64 << 20
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """The size of a hash table of the rows, from their number and the lengths of their values (one pass over ``df``)."""
+    sizes = [F.lit(64 + 8 * len(df.columns))]
+    for name, field in zip(df.columns, df.schema, strict=True):
+        c = F.col(f"`{name}`")
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            c = F.to_json(F.struct(c))
+        elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            continue
+        sizes.append(F.coalesce(F.octet_length(c), F.lit(0)))
+    return df.agg(F.sum(reduce(add, sizes).cast("bigint"))).first()[0] or 0
 
 
 def bounded_broadcast(df: DataFrame) -> DataFrame:
-    """``broadcast(df)`` if its estimated size is within the limit, else ``df`` (a shuffled join then)."""
+    """``broadcast(df)`` if its measured size is within the limit, else ``df`` for a sort-merge join. Catalyst's estimate is
+    of compressed files, so it can only refuse."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size <= BROADCAST_LIMIT else df
+    return F.broadcast(df) if size <= BROADCAST_LIMIT and measured_bytes(df) <= BROADCAST_LIMIT else df.hint("merge")
 
 
 def _equated(e: E.Expr, n_left: int) -> list[int] | None:
