@@ -52,3 +52,9 @@ def test_a_side_that_may_change_is_read_once(spark):
         assert not joins._rereadable(changing)
         df = join_frames(changing, b, Ref(0).eq(Ref(2)) & (Ref(1) >= Ref(3)), "left")
         assert "xxhash64" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", CONDITIONS)
+@pytest.mark.parametrize("how", ["left_semi"])
+def test_semi_and_anti(spark, monkeypatch, name, how):
+    plain_and_mixed(spark, monkeypatch, name, how)
