@@ -55,6 +55,6 @@ def test_a_side_that_may_change_is_read_once(spark):
 
 
 @pytest.mark.parametrize("name", CONDITIONS)
-@pytest.mark.parametrize("how", ["left_semi"])
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
 def test_semi_and_anti(spark, monkeypatch, name, how):
     plain_and_mixed(spark, monkeypatch, name, how)
