@@ -58,3 +58,9 @@ def test_a_side_that_may_change_is_read_once(spark):
 @pytest.mark.parametrize("how", ["left_semi", "left_anti"])
 def test_semi_and_anti(spark, monkeypatch, name, how):
     plain_and_mixed(spark, monkeypatch, name, how)
+
+
+@pytest.mark.parametrize("name", CONDITIONS)
+@pytest.mark.parametrize("how", ["full"])
+def test_rows_without_a_match_stay_once(spark, monkeypatch, name, how):
+    plain_and_mixed(spark, monkeypatch, name, how)
