@@ -61,6 +61,6 @@ def test_semi_and_anti(spark, monkeypatch, name, how):
 
 
 @pytest.mark.parametrize("name", CONDITIONS)
-@pytest.mark.parametrize("how", ["full"])
+@pytest.mark.parametrize("how", ["left", "full"])
 def test_rows_without_a_match_stay_once(spark, monkeypatch, name, how):
     plain_and_mixed(spark, monkeypatch, name, how)
